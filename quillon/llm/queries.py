@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillon.llm import bpe, chat, secrets, sharding
+from quillon.llm import bpe, chat, fingerprint, mixing, neighbours, secrets, sharding
 from quillon.llm.common import read_table
 
 #: The tokenizer that op7 and the pipeline use, by its name in the tokenizer folder.
@@ -34,6 +34,42 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    placed = neighbours.with_guests(docs, F.col("doc_id"))
+    falling = Window.partitionBy("nb_bucket").orderBy("nb_guest", F.desc("nb_key"), "text")
+    n = F.length("text")
+    k = F.floor(n / 3).cast("int")
+    edited = placed.select(
+        "nb_bucket",
+        "nb_guest",
+        "nb_key",
+        "doc_id",
+        "text",
+        F.concat(F.substr("text", F.lit(1), n - k), F.substr(F.lead("text").over(falling), F.lit(1), k)).alias("edited"),
+    )
+    marked = fingerprint.fingerprints(edited, "text", "fp")
+    # Guests have no successor here and are dropped; their fingerprints serve the rows before them.
+    marked = fingerprint.fingerprints(marked, "edited", "edited_fp").withColumn("next_fp", F.lead("fp").over(falling)).where("nb_guest = 0")
+    return marked.select(
+        "doc_id",
+        F.length("text").cast("long").alias("n_chars"),
+        F.sha2("edited", 256).alias("edited_sha256"),
+        fingerprint.to_hex(F.col("fp")).alias("fingerprint"),
+        fingerprint.to_hex(F.col("edited_fp")).alias("edited_fingerprint"),
+        fingerprint.likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"),
+        fingerprint.likeness(F.col("fp"), F.col("next_fp")).alias("near_next"),
+    )
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    out, goal = mixing.mix(docs, F.array("source"), mixing.word_count(F.col("text")))
+    table = spark.createDataFrame([(s, n, t) for s, (n, t) in goal.items()], "g_source string, source_size long, target double")
+    joined = out.join(F.broadcast(table), F.col("pattern")[0].eqNullSafe(F.col("g_source")))  # one row a source
+    return joined.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = tokenizer()
     docs = read_table(spark, sf_dir, "documents")
@@ -73,6 +109,8 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secrets": op1_secrets,
+        "op3_fingerprints": op3_fingerprints,
+        "op6_mixing": op6_mixing,
         "op7_bpe": op7_bpe,
         "op9_chat": op9_chat,
         "op10_sharding": op10_sharding,
