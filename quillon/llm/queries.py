@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillon.llm import bpe, chat, fingerprint, mixing, neighbours, secrets, sharding
+from quillon.llm import bpe, chat, fingerprint, jaccard, mixing, neighbours, secrets, sharding
 from quillon.llm.common import read_table
 
 #: The tokenizer that op7 and the pipeline use, by its name in the tokenizer folder.
@@ -34,6 +34,11 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = jaccard.near_duplicates(read_table(spark, sf_dir, "documents"), words=3, percent=90)
+    return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "n_links")
+
+
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     placed = neighbours.with_guests(docs, F.col("doc_id"))
@@ -109,6 +114,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secrets": op1_secrets,
+        "op2_jaccard": op2_jaccard,
         "op3_fingerprints": op3_fingerprints,
         "op6_mixing": op6_mixing,
         "op7_bpe": op7_bpe,
