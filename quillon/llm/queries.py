@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillon.llm import bpe, chat, fingerprint, jaccard, mixing, neighbours, secrets, sharding
+from quillon.llm import bpe, chat, embeddings, fingerprint, jaccard, mixing, neighbours, secrets, sharding, toxicity
 from quillon.llm.common import read_table
 
 #: The tokenizer that op7 and the pipeline use, by its name in the tokenizer folder.
@@ -21,6 +21,14 @@ def tokenizer(name: str = VOCABULARY) -> tuple[str, str]:
     return public_tokenizers.path(name), public_tokenizers.PATTERN
 
 
+#: Documents that score at least this are toxic.
+TOXIC_FROM = 0.3
+
+
+def held_out(doc_id: Column) -> Column:
+    return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
+
+
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     count = lambda kind: F.size(F.filter("secret_base", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
@@ -67,6 +75,22 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    grammar = toxicity.fit(docs, read_table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, grammar, out_col="score").select(
+        "doc_id",
+        held_out(F.col("doc_id")).alias("held_out"),
+        "score",
+        (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted"),
+    )
+
+
+def op5_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = embeddings.near_duplicate_vectors(read_table(spark, sf_dir, "embeddings"), cosine=0.98)
+    return out.select(F.col("id").alias("vec_id"), "n_links", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     out, goal = mixing.mix(docs, F.array("source"), mixing.word_count(F.col("text")))
@@ -116,6 +140,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_secrets": op1_secrets,
         "op2_jaccard": op2_jaccard,
         "op3_fingerprints": op3_fingerprints,
+        "op4_toxicity": op4_toxicity,
+        "op5_embeddings": op5_embeddings,
         "op6_mixing": op6_mixing,
         "op7_bpe": op7_bpe,
         "op9_chat": op9_chat,
