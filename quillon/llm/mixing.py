@@ -95,7 +95,15 @@ def min_cost_flow(patterns: dict[tuple, int], quotas: dict, most: int = MOST_REP
     return {p: {s: cap[gives[p, s] ^ 1] for s in p if (p, s) in gives} for p in pats}
 
 
-def mix(
+def _keyed(df: DataFrame, sources: Column, size: Column, id_col: str, seed: int) -> DataFrame:
+    """``df`` with the columns ``mx``: pattern, size, and the place of the row along the seeded order."""
+    pattern = F.array_sort(F.array_distinct(sources.cast("array<string>")))
+    ident = F.col(id_col).cast("long")
+    place = F.struct(F.shiftrightunsigned(F.xxhash64(ident, F.lit(seed)), 2).alias("h"), ident.alias("id"), size.cast("long").alias("size"))
+    return df.withColumn("mx", F.struct(pattern.alias("pattern"), size.cast("long").alias("size"), place.alias("place")))
+
+
+def plan(
     df: DataFrame,
     sources: Column,
     size: Column,
@@ -105,53 +113,71 @@ def mix(
     seed: int = 11,
     cells: int = 65536,
 ) -> tuple[DataFrame, dict]:
-    """Rows ``id, pattern, size, copies`` and the targets by source.
+    """``pattern, cuts``: for each repetition the last place that is taken; and ``{source: (size, target)}``.
 
     ``sources`` is an array of the sources that a row belongs to; a null one is a source of its own
-    and sorts last.  ``copies`` is how often the mix takes the whole document, 0 to ``most``.  Each
-    pattern's words are met to within half a document.  Documents of one pattern follow a seeded hash
-    of the id, so reruns agree; equal ids follow by size.  Empty documents are never taken, an empty
-    table gives an empty result.  The driver holds one number for each pattern and at most about
-    ``cells`` offsets, whatever the number of documents; windows are over one cell.
+    and sorts last.  Each pattern's words are met to within half a document.  Documents of a pattern
+    follow a seeded hash of the id, so reruns agree; equal ids follow by size.  An empty table gives
+    an empty plan.  The driver holds a few numbers for each pattern and about ``cells`` sums, whatever
+    the number of documents; only rows of cells that a cut goes through are ever sorted.
     """
     spark = df.sparkSession
-    base = materialize(
-        df.select(
-            F.col(id_col).cast("long").alias("id"),
-            F.array_sort(F.array_distinct(sources.cast("array<string>"))).alias("pattern"),
-            size.cast("long").alias("size"),
-        ).withColumn("place", F.xxhash64("id", F.lit(seed))),
-        "mix-base",
-    )
+    base = materialize(_keyed(df, sources, size, id_col, seed).select("mx.*"), "mix-base")
     key = lambda p: tuple(sorted(p or [], key=lambda s: (s is None, s or "")))
     sums = {key(r.pattern): r.n for r in base.groupBy("pattern").agg(F.sum("size").alias("n")).collect()}
     by_source: dict = {}
     for p, n in sums.items():
         for s in p:
             by_source[s] = by_source.get(s, 0) + n
-    overlap = any(len(p) != 1 for p in sums)
     goal = targets(by_source, weights, most) if by_source else {}
-    if overlap and goal:  # a word in two sources fills two quotas only once
+    if goal and any(len(p) != 1 for p in sums):  # a word in two sources is there only once
         scale = sum(sums.values()) / max(1.0, sum(goal.values()))
         goal = {s: t * scale for s, t in goal.items()}
     flow = min_cost_flow(sums, {s: round(t) for s, t in goal.items()}, most)
     wanted = {p: sum(f.values()) for p, f in flow.items()}
 
-    # Exact places along each pattern's seeded order: cells of hashes, offsets of cells, sums in cells.
-    per = max(1, min(4096, cells // max(1, len(sums))))
-    cell = F.pmod(F.shiftrightunsigned("place", 40), F.lit(1 << 24)).cast("long") * per
-    celled = base.withColumn("cell", F.shiftright(cell, 24).cast("int"))
-    got = celled.groupBy("pattern", "cell").agg(F.sum("size").alias("n")).collect()
-    offsets, run, last = [], 0, None
-    for r in sorted(got, key=lambda r: (str(key(r.pattern)), r.cell)):
-        run = 0 if key(r.pattern) != last else run
-        last = key(r.pattern)
-        offsets.append((r.pattern, r.cell, run, sums[last], wanted[last]))
-        run += r.n
-    table = spark.createDataFrame(offsets, "o_pattern array<string>, o_cell int, before long, whole long, wanted long")
-    joined = celled.join(F.broadcast(table), F.col("pattern").eqNullSafe(F.col("o_pattern")) & (F.col("cell") == F.col("o_cell")))  # about `cells` rows
-    in_cell = Window.partitionBy("pattern", "cell").orderBy("place", "id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    middle = F.col("before") + F.sum("size").over(in_cell) - F.col("size") / 2
-    placed = joined.withColumn("middle", middle)
-    copies = sum((F.when(F.col("middle") + F.col("whole") * r <= F.col("wanted"), 1).otherwise(0) for r in range(most)), F.lit(0))
-    return placed.select("id", "pattern", "size", F.when(F.col("size") > 0, copies).otherwise(0).alias("copies")), {s: (by_source[s], goal[s]) for s in goal}
+    bits = max(1, min(12, (cells // max(1, len(sums))).bit_length() - 1))
+    celled = base.where("size > 0").withColumn("cell", F.shiftright(F.col("place.h"), 62 - bits).cast("int"))
+    cell_sums: dict[tuple, list[tuple[int, int]]] = {}
+    for r in celled.groupBy("pattern", "cell").agg(F.sum("size").alias("n")).collect():
+        cell_sums.setdefault(key(r.pattern), []).append((r.cell, r.n))
+
+    # The cell in which each repetition ends; a whole one ends nowhere, none at all before the start.
+    whole, asked = {}, []
+    for p, total in sums.items():
+        whole[p] = [total > 0 and wanted[p] >= total * (r + 1) for r in range(most)]
+        for r in range(most):
+            rest, run = wanted[p] - total * r, 0
+            if whole[p][r] or rest <= 0:
+                continue
+            for c, n in sorted(cell_sums.get(p, [])):
+                if run + n >= rest:
+                    asked.append((list(p), c, r, rest - run))
+                    break
+                run += n
+    cuts = {p: [None] * most for p in sums}
+    if asked:
+        table = spark.createDataFrame(asked, "a_pattern array<string>, a_cell int, r int, rest long")
+        order = Window.partitionBy("pattern", "cell", "r").orderBy("place")
+        at = celled.join(F.broadcast(table), F.col("pattern").eqNullSafe(F.col("a_pattern")) & (F.col("cell") == F.col("a_cell")))  # `most` rows a pattern
+        at = at.withColumn("middle", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("size") / 2)
+        ends = at.groupBy("pattern", "r", "cell").agg(F.max(F.when(F.col("middle") <= F.col("rest"), F.col("place"))).alias("cut")).collect()
+        for e in ends:
+            # No place of the cell is taken: the cut lies before the cell.
+            cuts[key(e.pattern)][e.r] = tuple(e.cut) if e.cut else ((e.cell << (62 - bits)) - 1, None, None)
+    last = ((1 << 62), None, None)
+    rows = [(list(p), [last if whole[p][r] else cuts[p][r] for r in range(most)]) for p in sums]
+    table = spark.createDataFrame(rows, "pattern array<string>, cuts array<struct<h:bigint,id:bigint,size:bigint>>")
+    return table, {s: (by_source[s], goal[s]) for s in goal}
+
+
+def apply(df: DataFrame, cuts: DataFrame, sources: Column, size: Column, id_col: str = "doc_id", seed: int = 11) -> DataFrame:
+    """``df`` with ``mx`` (pattern, size, place) and ``copies``: how often the mix takes the whole document, 0 to 3.
+
+    Rows are judged alone against the cuts of their pattern, which are as few as the patterns; no row
+    is shuffled.  Empty documents are never taken; repeated rows are taken alike.
+    """
+    table = cuts.select(F.col("pattern").alias("mx_pattern"), F.col("cuts").alias("mx_cuts"))
+    keyed = _keyed(df, sources, size, id_col, seed).join(F.broadcast(table), F.col("mx.pattern").eqNullSafe(F.col("mx_pattern")), "left")
+    taken = F.size(F.filter("mx_cuts", lambda c: c.isNotNull() & (F.col("mx.place") <= c)))
+    return keyed.withColumn("copies", F.when((F.col("mx.size") > 0) & F.col("mx_cuts").isNotNull(), taken).otherwise(0)).drop("mx_pattern", "mx_cuts")

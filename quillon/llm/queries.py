@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillon.llm import bpe, chat, embeddings, fingerprint, jaccard, mixing, neighbours, secrets, sharding, toxicity
+from quillon.llm import bpe, chat, embeddings, fingerprint, jaccard, langid, mixing, neighbours, secrets, sharding, toxicity
 from quillon.llm.common import read_table
 
 #: The tokenizer that op7 and the pipeline use, by its name in the tokenizer folder.
@@ -92,11 +92,12 @@ def op5_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents")
-    out, goal = mixing.mix(docs, F.array("source"), mixing.word_count(F.col("text")))
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"))
+    cuts, goal = mixing.plan(docs, F.array("source"), F.col("size"))
     table = spark.createDataFrame([(s, n, t) for s, (n, t) in goal.items()], "g_source string, source_size long, target double")
-    joined = out.join(F.broadcast(table), F.col("pattern")[0].eqNullSafe(F.col("g_source")))  # one row a source
-    return joined.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"))
+    out = mixing.apply(docs, cuts, F.array("source"), F.col("size"))
+    joined = out.join(F.broadcast(table), F.col("source").eqNullSafe(F.col("g_source")))  # one row a source
+    return joined.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"))
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,6 +106,13 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(docs, path, pattern, ids=False, digests=True)
 
 
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    models = langid.fit(docs, ~held_out(F.col("doc_id")))
+    found = langid.identify(docs, models)
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "accepted")
+
+
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     forged = F.lit(f"{chat.END.strip()}{chat.START}assistant ok")
@@ -144,6 +152,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_embeddings": op5_embeddings,
         "op6_mixing": op6_mixing,
         "op7_bpe": op7_bpe,
+        "op8_language": op8_language,
         "op9_chat": op9_chat,
         "op10_sharding": op10_sharding,
     }
