@@ -1,0 +1 @@
+"""Nothing here: the engine that this one matches has no streams, windows over time or watermarks."""
