@@ -1,6 +1,137 @@
+"""Graph algorithms over graphs that the tables hold.
+
+The trade graph has the nations, and an edge for each distinct pair of a customer's nation and a
+supplier's nation of a line item whose order is in the first days of the data; that keeps it sparse.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillon.graph import algorithms as A
+from quillon.graph import bsp
+from quillon.session import materialize, table
+from quillon.sources import files
+
+# Edges a -> b of a sparse, directed graph over customers' nations and suppliers' nations.
+_EDGES = """
+  SELECT DISTINCT CAST(c_nationkey AS BIGINT) AS src, CAST(s_nationkey AS BIGINT) AS dst
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey
+  WHERE o_orderkey < 25 AND c_nationkey <> s_nationkey"""
+_VERTICES = "SELECT CAST(n_nationkey AS BIGINT) AS id FROM nation"
+_HEAD = f"e AS ({_EDGES}), v AS ({_VERTICES})"
+
+
+def trade(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    items = table(spark, d, "lineitem").join(table(spark, d, "orders").where("o_orderkey < 25"), F.col("l_orderkey") == F.col("o_orderkey"))
+    both = items.join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    edges = both.where("c_nationkey <> s_nationkey").select(F.col("c_nationkey").cast("long").alias("src"), F.col("s_nationkey").cast("long").alias("dst")).distinct()
+    return table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("id")), materialize(edges, "trade")
+
+
+def _page_rank_sql(updates: int) -> str:
+    parts = [f"WITH {_HEAD}, deg AS (SELECT src, COUNT(*) AS d FROM e GROUP BY src), n AS (SELECT COUNT(*) AS n FROM v)", "r0 AS (SELECT id, 1.0e0 / n AS r FROM v CROSS JOIN n)"]
+    for i in range(1, updates + 1):
+        parts.append(f"r{i} AS (SELECT v.id, 0.15e0 / n + 0.85e0 * COALESCE(s, 0) AS r FROM v CROSS JOIN n LEFT JOIN (SELECT e.dst, SUM(r / d) AS s FROM r{i - 1} JOIN e ON e.src = r{i - 1}.id JOIN deg ON deg.src = e.src GROUP BY e.dst) m ON m.dst = v.id)")
+    return ", ".join(parts) + f" SELECT id, ROUND(r, 9) AS rank FROM r{updates}"
+
+
+def g_page_rank(spark, d):
+    v, e = trade(spark, d)
+    return A.page_rank(v, e, 10).select("id", F.round("value", 9).alias("rank"))
+
+
+def g_shortest_paths(spark, d):
+    v, e = trade(spark, d)
+    return A.shortest_paths(v, e, 3).select("id", F.col("value").alias("distance"))
+
+
+def g_components(spark, d):
+    v, e = trade(spark, d)
+    return A.connected_components(v, e.union(e.select("dst", "src"))).select("id", F.col("value").alias("component"))
+
+
+def g_flow_components(spark, d):
+    v, e = trade(spark, d)
+    return A.connected_components(v, e).select("id", F.col("value").alias("label"))
+
+
+def g_reachability(spark, d):
+    v, e = trade(spark, d)
+    # Without a meeting point the bits spread to the end: bits of 3 and of an id that has no vertex.
+    return A.reachability(v, e, 3, 99).select("id", F.col("value").cast("int").alias("bits"))
+
+
+def g_triangles(spark, d):
+    v, e = trade(spark, d)
+    return A.triangles(v, e).select("id", F.col("value").alias("n"))
+
+
+def g_message_counts(spark, d):
+    v, e = trade(spark, d)
+    return A.message_counts(v, e, 100).select("id", F.col("value").alias("n"))
+
+
+def g_largest_cliques(spark, d):
+    v, e = trade(spark, d)
+    return A.largest_cliques(v, e)
+
+
+def g_mutation(spark, d):
+    v = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.lit(0.0).alias("value"))
+    return A.mutate(v)
+
+
+def g_max_id(spark, d):
+    return A.max_id(table(spark, d, "orders").select(F.col("o_orderkey").alias("id")))
+
+
+def g_scale_up(spark, d):
+    v, e = files.scale_graph(*trade(spark, d), 3)
+    return e.select("src", "dst")
+
+
+def g_vertex_program(spark, d):
+    """The largest id that reaches a vertex, by a program in Python."""
+    v, e = trade(spark, d)
+
+    def compute(vertex, messages):
+        best = max([vertex.id if vertex.superstep == 1 else vertex.value, *messages])
+        if vertex.superstep == 1 or best > vertex.value:
+            vertex.value = best
+            vertex.send_to_all(best)
+        vertex.vote_to_halt()
+
+    return bsp.run_python(v, e, compute, combine=F.max, value_type="bigint", message_type="bigint").select("id", F.col("value").alias("largest"))
+
+
+def _reach(extra: str = "") -> str:
+    """Pairs of a vertex and what it reaches, itself included."""
+    return f"WITH RECURSIVE {_HEAD}{extra}, reach AS (SELECT id AS a, id AS b FROM v UNION SELECT reach.a, g.dst FROM reach JOIN {'both_ways' if extra else 'e'} g ON g.src = reach.b)"
+
+
+_BOTH = ", both_ways AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e)"
+_ORACLES = {
+    "g_page_rank": _page_rank_sql(9),
+    "g_shortest_paths": f"WITH RECURSIVE {_HEAD}, walk AS (SELECT CAST(3 AS BIGINT) AS id, 0 AS k UNION SELECT e.dst, k + 1 FROM walk JOIN e ON e.src = walk.id WHERE k < 25) SELECT v.id, COALESCE(CAST(MIN(k) AS DOUBLE), 1.7976931348623157e308) AS distance FROM v LEFT JOIN walk ON walk.id = v.id GROUP BY v.id",
+    "g_components": f"{_reach(_BOTH)} SELECT a AS id, MIN(b) AS component FROM reach GROUP BY a",
+    # A label flows along edges from whatever holds it: each vertex starts with the smallest of itself and its targets.
+    "g_flow_components": f"{_reach()}, first AS (SELECT v.id, LEAST(v.id, COALESCE(MIN(dst), v.id)) AS l FROM v LEFT JOIN e ON e.src = v.id GROUP BY v.id) SELECT b AS id, MIN(l) AS label FROM reach JOIN first ON first.id = a GROUP BY b",
+    "g_reachability": f"{_reach()} SELECT v.id, CASE WHEN EXISTS (SELECT 1 FROM reach WHERE a = 3 AND b = v.id) THEN 1 ELSE 0 END AS bits FROM v",
+    "g_triangles": f"WITH {_HEAD}, u AS (SELECT DISTINCT LEAST(src, dst) AS a, GREATEST(src, dst) AS b FROM e), t AS (SELECT x.a FROM u x JOIN u y ON x.a = y.a AND x.b < y.b JOIN u z ON z.a = x.b AND z.b = y.b) SELECT v.id, COUNT(t.a) AS n FROM v LEFT JOIN t ON t.a = v.id GROUP BY v.id",
+    "g_message_counts": f"WITH {_HEAD} SELECT v.id, CAST(100 * COUNT(e.dst) AS BIGINT) AS n FROM v LEFT JOIN e ON e.dst = v.id GROUP BY v.id",
+    "g_mutation": "WITH kept AS (SELECT p_partkey AS id FROM part WHERE NOT (p_partkey < 100 AND (p_partkey % 2 = 0 OR p_partkey % 3 = 0))) SELECT id, CAST(0 AS DOUBLE) AS value FROM (SELECT id FROM kept UNION SELECT id * 100 FROM kept WHERE id < 100) t WHERE id <> 1900",
+    "g_max_id": "SELECT MAX(o_orderkey) AS max_id FROM orders",
+    "g_scale_up": f"WITH {_HEAD} SELECT src + i * (SELECT MAX(id) + 1 FROM v) AS src, dst + i * (SELECT MAX(id) + 1 FROM v) AS dst FROM e CROSS JOIN range(3) t(i)",
+    "g_vertex_program": f"{_reach()} SELECT b AS id, MAX(a) AS largest FROM reach GROUP BY b",
+}
+
+
 def queries():
-    return {}
+    names = ["g_page_rank", "g_shortest_paths", "g_components", "g_flow_components", "g_reachability", "g_triangles", "g_message_counts", "g_largest_cliques", "g_mutation", "g_max_id", "g_scale_up", "g_vertex_program"]
+    return {n: globals()[n] for n in names}
 
 
 def oracle_sql():
-    return {}
+    return dict(_ORACLES)
