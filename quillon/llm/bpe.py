@@ -23,10 +23,12 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillon.llm.common import frugal
+
 #: Pieces whose ids a worker remembers, in each of two generations; older ones are encoded again.
-REMEMBERED = 300_000
+REMEMBERED = 100_000
 #: Pairs of neighbours whose compatibility a worker remembers.
-PAIRS = 1_000_000
+PAIRS = 300_000
 #: Pieces joined at once, so that a very long text never stands in memory as a list of pieces.
 AT_ONCE = 200_000
 
@@ -158,7 +160,7 @@ class _Remembered(dict):
         return got
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _worker(key: str, shared) -> tuple[_Remembered, list[bytes]]:
     ranks = shared.value
     table = [b""] * (max(ranks.values(), default=-1) + 1)
@@ -210,7 +212,7 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text_col: str = "text",
                 cols.append(pa.array([hashlib.sha256(decode_ids(b, table)).hexdigest() for b in blobs], pa.string()))
             yield pa.RecordBatch.from_arrays(cols, names=[*keep, *[c for c, _ in extra]])
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(frugal(run), schema)
 
 
 def decode(df: DataFrame, ranks_path: str, ids_col: str = "ids", out_col: str = "text") -> DataFrame:

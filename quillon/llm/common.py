@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import math
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,8 +48,28 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def lit_array(values, kind: str) -> Column:
-    return F.lit(None).cast(f"array<{kind}>") if values is None else F.array(*[F.lit(v) for v in values]).cast(f"array<{kind}>")
+def frugal(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], rows: int = 1000) -> Callable:
+    """A mapper over Arrow batches that sees at most ``rows`` rows at once and returns memory when its task ends.
+
+    Python workers live on between tasks and stages; what the allocators keep would add up in an executor.
+    """
+
+    def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows):
+                yield batch.slice(at, rows)
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(sliced(batches))
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except AttributeError:  # only glibc has it
+                pass
+
+    return wrapped
 
 
 def range_index(key: Column, splitters: list[Column]) -> Column:

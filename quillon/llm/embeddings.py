@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import materialize
+from quillon.llm.common import frugal, materialize
 from quillon.llm.components import connected_components
 
 BUCKET = 2048
@@ -59,7 +59,7 @@ def _classes(df: DataFrame) -> DataFrame:
                 vectors.append(a.tobytes() if fine else None)
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("label"), pa.array(keys, pa.binary()), pa.array(vectors, pa.binary())], names=["id", "label", "cls", "v"])
 
-    return df.mapInArrow(run, "id long, label long, cls binary, v binary")
+    return df.mapInArrow(frugal(run), "id long, label long, cls binary, v binary")
 
 
 def _entries(classes: DataFrame, bits: int, tables: int) -> DataFrame:
@@ -91,7 +91,7 @@ def _entries(classes: DataFrame, bits: int, tables: int) -> DataFrame:
                         names=["label", "dim", "tab", "sig", "cls", "copies", "sigs", "v"],
                     )
 
-    return classes.mapInArrow(run, "label long, dim long, tab long, sig long, cls binary, copies long, sigs binary, v binary")
+    return classes.mapInArrow(frugal(run), "label long, dim long, tab long, sig long, cls binary, copies long, sigs binary, v binary")
 
 
 def _compare(cosine: float):

@@ -7,6 +7,9 @@
 3. Classes of identical prefix and size are collapsed to one group.
 4. Groups that share a shingle of their prefixes are paired, if sizes and places of the shared
    shingle allow the overlap.  A pair that shares a run of shingles comes up at the run's start only.
+   Pairs of single classes must also pass their parity sketches: a bit for each hash value modulo a
+   power of two near the set's size, flipped by every shingle that falls there.  Two sketches differ
+   in no more bits than the sets differ in shingles, so no pair that links is lost.
 5. Groups that were paired are brought together, expanded to their classes and verified on the whole
    sets, block by block.  A block gives out a spanning forest and numbers of links, one row a class,
    so a cluster of m documents makes m rows, not m*m.
@@ -25,17 +28,17 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import materialize
+from quillon.llm.common import frugal, materialize
 from quillon.llm.components import connected_components
 
 #: Shingles that a task counts at once.  One that is in more than 1 / CHUNK of all places shows up twice in some chunk.
-CHUNK = 2_000_000
+CHUNK = 4_000_000
 #: Documents from which on a shingle goes to the end of the order.
 FREQUENT = 32
 #: Shingles of a verification block, about; larger neighbourhoods are cut into blocks against blocks.
 BLOCK = 2_000_000
-#: Rows up to which a list of keys is broadcast (24 bytes a row); longer lists are joined by shuffle.
-BROADCAST_ROWS = 500_000
+#: Rows up to which a list of documents is broadcast (about 100 bytes a row); longer lists are joined by shuffle.
+BROADCAST_ROWS = 300_000
 
 _MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
@@ -63,6 +66,23 @@ def signature(s: np.ndarray) -> bytes | None:
     return xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None
 
 
+def sketch(s: np.ndarray) -> bytes:
+    """Parity of the numbers of hashes in each of b cells; b is the power of two from the size of the set on, 64 at least."""
+    cells = max(64, 1 << (len(s) - 1).bit_length())
+    at = (s >> np.uint64(20)) & np.uint64(cells - 1)
+    return np.packbits(np.bincount(at.astype(np.int64), minlength=cells) & 1, bitorder="little").tobytes()
+
+
+def differing(a: bytes, b: bytes) -> int:
+    """Bits in which two sketches differ; the longer one is folded, which gives the sketch of fewer cells."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def _ceil(a: int, b: int) -> int:
     return -(-a // b)
 
@@ -104,16 +124,16 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
         if waiting:
             yield counted()
 
-    return docs.mapInArrow(run, "id long, th long, n long, sig binary, shingles array<long>, counts array<long>")
+    return docs.mapInArrow(frugal(run), "id long, th long, n long, sig binary, shingles array<long>, counts array<long>")
 
 
 def _prefixes(docs: DataFrame, words: int, percent: int, frequent) -> DataFrame:
-    """``sig, n, gid, prefix`` of each document; copies in a task give one row."""
+    """``sig, n, gid, prefix, sketch`` of each document; copies in a task give one row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, seen = frequent.value, set()
         for batch in batches:
-            sig, n, gid, prefix = [], [], [], []
+            sig, n, gid, prefix, marks = [], [], [], [], []
             for _, s in _batches(batch, words):
                 mark = signature(s)
                 if mark is None or mark in seen:
@@ -127,10 +147,11 @@ def _prefixes(docs: DataFrame, words: int, percent: int, frequent) -> DataFrame:
                 n.append(len(s))
                 prefix.append(kept.view(np.int64))
                 gid.append(xxhash.xxh3_64_intdigest(kept.tobytes(), seed=len(s)))
+                marks.append(sketch(s))
             ids = np.array(gid, dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(sig, pa.binary()), pa.array(n, pa.int64()), pa.array(ids, pa.int64()), pa.array(prefix, pa.list_(pa.int64()))], names=["sig", "n", "gid", "prefix"])
+            yield pa.RecordBatch.from_arrays([pa.array(sig, pa.binary()), pa.array(n, pa.int64()), pa.array(ids, pa.int64()), pa.array(prefix, pa.list_(pa.int64())), pa.array(marks, pa.binary())], names=["sig", "n", "gid", "prefix", "sketch"])
 
-    return docs.mapInArrow(run, "sig binary, n long, gid long, prefix array<long>")
+    return docs.mapInArrow(frugal(run), "sig binary, n long, gid long, prefix array<long>, sketch binary")
 
 
 def _verify(words: int, percent: int):
@@ -202,6 +223,21 @@ def _paired(groups: DataFrame, percent: int) -> DataFrame:
     return joined.select(F.col("x.gid").alias("a"), F.col("y.gid").alias("b")).distinct()
 
 
+def _sketched(pairs: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+    """Pairs whose sketches do not rule them out; groups of several classes pass."""
+    one = lambda c: groups.select(F.col("gid").alias(c), F.col("n").alias(f"n{c}"), F.when(F.col("single"), F.col("sketch")).alias(f"s{c}"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = [
+                x is None or y is None or differing(x, y) * (100 + percent) <= (m + n) * (100 - percent)
+                for m, x, n, y in zip(*(batch.column(c).to_pylist() for c in ("na", "sa", "nb", "sb")))
+            ]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return pairs.join(one("a"), "a").join(one("b"), "b").select("a", "b", "na", "sa", "nb", "sb").mapInArrow(frugal(run), "a long, b long")
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
     """One row per input row: ``id, th, n_shingles, component_id, n_links``; ``th`` is a hash of the text.
 
@@ -225,13 +261,14 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         common = np.zeros(1, np.uint64)
     frequent = spark.sparkContext.broadcast(common)
 
-    classes = rows.where("sig is not null").groupBy("sig").agg(F.min("id").alias("first_id"), F.count("*").alias("copies"), F.min("th").alias("th"))
+    classes = rows.where("sig is not null").groupBy("sig").agg(F.min("id").alias("first_id"), F.count("*").alias("copies"), F.min_by("th", F.coalesce("id", F.lit((1 << 63) - 1))).alias("th"))
     prefixes = materialize(_prefixes(docs, words, percent, frequent), "jaccard-prefixes")
-    groups = prefixes.groupBy("gid").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    groups = prefixes.groupBy("gid").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"), (F.min("sig") == F.max("sig")).alias("single"), F.first("sketch").alias("sketch"))
     members = prefixes.select("gid", "sig", "n").distinct()
     sizes = members.groupBy("gid").agg(F.count("*").alias("m"), F.sum("n").alias("tokens"))
     within = sizes.where("m > 1").select(F.col("gid").alias("a"), F.col("gid").alias("b"))
-    pairs = materialize(_paired(groups, percent).union(within), "jaccard-pairs")
+    met = materialize(_paired(groups.select("gid", "n", "prefix"), percent), "jaccard-met")
+    pairs = materialize(_sketched(met, groups.select("gid", "n", "single", "sketch"), percent).union(within), "jaccard-pairs")
 
     # Blocks: neighbours under one label, by two steps of the smallest neighbour; any labels would do.
     both = pairs.union(pairs.select("b", "a"))
@@ -243,25 +280,23 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     blocks = pairs.join(chunk.withColumnRenamed("chunk", "ca"), "a").join(chunk.select(F.col("a").alias("b"), F.col("chunk").alias("cb")), "b")
     blocks = materialize(blocks.select("a", "b", F.xxhash64(F.least("ca", "cb"), F.greatest("ca", "cb")).alias("block")), "jaccard-blocks")
     needed = blocks.select(F.col("a").alias("gid"), "block").union(blocks.select("b", "block")).groupBy("gid").agg(F.collect_set("block").alias("blocks"))
-    wanted = materialize(needed.join(members, "gid").join(classes.select("sig", "copies", "th"), "sig").select("th", "gid", "sig", "copies", "blocks"), "jaccard-wanted")
-    keys = wanted.select("th").distinct()
-    if keys.count() <= BROADCAST_ROWS:
-        keys = F.broadcast(keys)
+    wanted = needed.join(members, "gid").join(classes.select("sig", "copies", "first_id", "th"), "sig")
+    wanted = materialize(wanted.select(F.col("th").alias("w_th"), F.col("first_id").alias("w_id"), "gid", "sig", "copies", "blocks"), "jaccard-wanted")
+    if wanted.count() <= BROADCAST_ROWS:
+        wanted = F.broadcast(wanted)
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[bytes] = set()
         for batch in batches:
-            sig, blob = [], []
-            for _, s in _batches(batch, words):
-                mark = signature(s)
-                if mark is not None and mark not in seen:
-                    seen.add(mark)
-                    sig.append(mark)
-                    blob.append(s.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(sig, pa.binary()), pa.array(blob, pa.binary())], names=["sig", "s"])
-
-    sets = docs.join(keys, "th", "left_semi").select("t").mapInArrow(whole, "sig binary, s binary")
-    brought = sets.join(wanted.drop("th"), "sig").select(F.explode("blocks").alias("block"), "gid", "sig", "copies", "s")
+            sets = [(i, s) for i, s in _batches(batch, words)]
+            kept = [i for i, s in sets if signature(s) == batch.column("sig")[i].as_py()]  # equal ids and hashes of other texts
+            blobs = pa.array([sets[i][1].tobytes() for i in kept], pa.binary())
+            rows = batch.select(["blocks", "gid", "sig", "copies"]).take(pa.array(kept, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*rows.columns, blobs], names=["blocks", "gid", "sig", "copies", "s"])
+
+    # One document of each class that is needed brings its whole set.
+    held = docs.join(wanted, (F.col("th") == F.col("w_th")) & F.col("id").eqNullSafe(F.col("w_id"))).select("t", "blocks", "gid", "sig", "copies")
+    sets = held.mapInArrow(frugal(whole), "blocks array<long>, gid long, sig binary, copies long, s binary")
+    brought = sets.select(F.explode("blocks").alias("block"), "gid", "sig", "copies", "s")
     check = brought.groupBy("block").cogroup(blocks.groupBy("block")).applyInArrow(_verify(words, percent), "sig binary, root binary, links long")
     linked = materialize(check, "jaccard-links")
 

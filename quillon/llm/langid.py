@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import materialize
+from quillon.llm.common import frugal, materialize
 
 ORDER = 4
 DISCOUNT = 0.75
@@ -160,7 +160,7 @@ def _count(rows: DataFrame) -> DataFrame:
                         [pa.array([lang] * len(got)), pa.array(np.full(len(got), k, np.int32)), col(got), col(head[fine][first]), col(tail[fine][first]), pa.array(times, pa.int64())], names=names
                     )
 
-    return rows.mapInArrow(run, "lang string, k int, gram long, head long, tail long, n long").groupBy("lang", "k", "gram").agg(F.first("head").alias("head"), F.first("tail").alias("tail"), F.sum("n").alias("n"))
+    return rows.mapInArrow(frugal(run), "lang string, k int, gram long, head long, tail long, n long").groupBy("lang", "k", "gram").agg(F.first("head").alias("head"), F.first("tail").alias("tail"), F.sum("n").alias("n"))
 
 
 def _build(counts, langs: list[str]) -> Models:
@@ -256,7 +256,7 @@ def fit(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str =
                     size.append(k)
             yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(z, pa.list_(pa.float64())), pa.array(size, pa.int64())], names=["lang", "z", "n"])
 
-    got = sample.where("held").select("lang", "t").mapInArrow(totals, "lang string, z array<double>, n long").toPandas()
+    got = sample.where("held").select("lang", "t").mapInArrow(frugal(totals), "lang string, z array<double>, n long").toPandas()
     if len(got):
         z = np.stack(got["z"].to_numpy()) / np.maximum(1, got["n"].to_numpy())[:, None]
         root = np.sqrt(np.maximum(1, got["n"].to_numpy()))[:, None]
@@ -294,4 +294,4 @@ def identify(df: DataFrame, models: Models, text_col: str = "text", keep: tuple[
             cols += [pa.array([None if g[2] != g[2] else g[2] for g in got], pa.float64()), pa.array([g[3] for g in got], pa.bool_())]
             yield pa.RecordBatch.from_arrays(cols, names=[*keep, "lang_pred", "score", "entropy", "accepted"])
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(frugal(run), schema)

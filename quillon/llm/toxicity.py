@@ -24,6 +24,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillon.llm.common import frugal, materialize
+
 # The closed classes of the grammar.
 THREATS = frozenset("kill hurt destroy murder beat burn shoot stab crush punish matar golpear destruir tuer frapper détruire töten schlagen vernichten".split())
 TARGETS = frozenset("you your yours yourself he she him her they them people everyone tú usted ustedes vosotros tu vous toi ihr dich euch sie".split())
@@ -137,7 +139,7 @@ def _term_counts(rows: DataFrame, only=None) -> DataFrame:
                 count = Counter()
         yield _counted(count)
 
-    return rows.mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    return rows.mapInArrow(frugal(run), "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
 
 def _counted(count: Counter) -> pa.RecordBatch:
@@ -150,8 +152,6 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     Without any labelled toxic document only the fixed classes count.
     """
     spark = docs.sparkSession
-    from quillon.llm.common import materialize
-
     sample = materialize(training_rows(docs, labels, id_col, text_col, label_col, rows), "tox-train")
     n = {r.y: r.k for r in sample.groupBy("y").agg(F.count("*").alias("k")).collect()}
     n_pos, n_neg = n.get(1, 0), n.get(0, 0)
@@ -182,7 +182,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array([g.weigh(t.as_py(), found) for t in batch.column("t")], pa.float64())], names=["y", "w"])
 
-    got = sample.mapInArrow(weights, "y int, w double").toPandas()  # two numbers for each of the bounded rows
+    got = sample.mapInArrow(frugal(weights), "y int, w double").toPandas()  # two numbers for each of the bounded rows
     x, y = np.minimum(got["w"].to_numpy(), 30.0), (got["y"].to_numpy() > 0).astype(float)
     a, b = -4.0, 1.0
     for _ in range(200):  # Newton steps with a little ridge, so that separable rows stay finite
