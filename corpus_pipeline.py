@@ -17,32 +17,37 @@ from quillon.llm.queries import TOXIC_FROM, tokenizer
 ORACLE_SQL = None
 
 
+def _packed(docs: DataFrame) -> DataFrame:
+    """The columns that stages read, and the whole row beside them: other columns may have any name."""
+    return docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text", "source", "n_chars")
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity grammar does not reject."""
     grammar = toxicity.fit(docs, read_table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, grammar, out_col="toxicity").where(F.col("toxicity") < TOXIC_FROM).select(*docs.columns)
+    return toxicity.score(_packed(docs), grammar, out_col="toxicity").where(F.col("toxicity") < TOXIC_FROM).select("row.*")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that five-word shingles link at a likeness of 0.8 or more."""
-    return jaccard.keep_one(docs, words=5, percent=80).select(*docs.columns)
+    return jaccard.keep_one(docs, words=5, percent=80)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with secrets and linked parts of secrets masked."""
-    found = secrets.scan(docs, base_col="secret_base", linked_col="secret_linked")
-    spans = F.concat("secret_base", "secret_linked")
-    text = F.when(F.size(spans) > 0, secrets.redact(F.col("text"), spans)).otherwise(F.col("text"))
-    masked = found.withColumn("text", text).withColumn("n_chars", F.when(F.size(spans) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return masked.select(*docs.columns)
+    found = secrets.scan(_packed(docs), base_col="base", linked_col="linked").withColumn("spans", F.concat("base", "linked"))
+    masked = F.col("row").withField("text", secrets.redact(F.col("text"), F.col("spans")))
+    masked = masked.withField("n_chars", F.length(secrets.redact(F.col("text"), F.col("spans"))).cast("long"))
+    return found.select(F.when(F.size("spans") > 0, masked).otherwise(F.col("row")).alias("row")).select("row.*")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix: each document as often as it is taken, at most three times."""
     size = mixing.word_count(F.col("text"))
-    cuts, _ = mixing.plan(docs, F.array("source"), size)
-    taken = mixing.apply(docs, cuts, F.array("source"), size).where("copies > 0")
-    return taken.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).select(*docs.columns)
+    packed = _packed(docs)
+    cuts, _ = mixing.plan(packed, F.array("source"), size)
+    taken = mixing.apply(packed, cuts, F.array("source"), size).where("copies > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1), "copies"))).select("row.*")
 
 
 def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -239,8 +239,9 @@ def _sketched(pairs: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
-    """One row per input row: ``id, th, n_shingles, component_id, n_links``; ``th`` is a hash of the text.
+    """One row per input row: ``id, th, n_shingles, component_id, n_links, component``.
 
+    ``th`` is a hash of the text, ``component`` the key of the component, null without shingles.
     Two documents link when ``100 * common >= percent * union`` of their shingle sets, exactly (up to
     64-bit hashes of shingles).  ``component_id`` is the smallest id that links reach, ``n_links`` the
     number of other rows linked directly, rows of equal sets included.  Null and empty texts have no
@@ -303,28 +304,29 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     comp = connected_components(linked.select(F.col("sig").alias("a"), F.col("root").alias("b")))
     reach = comp.select(F.col("node").alias("sig"), "root").join(classes.select("sig", "first_id"), "sig")
     smallest = reach.groupBy("root").agg(F.min("first_id").alias("least_id"))
-    reach = reach.join(smallest, "root").select("sig", "least_id")
+    reach = reach.join(smallest, "root").select("sig", "root", "least_id")
     degree = linked.groupBy("sig").agg(F.sum("links").alias("links"))
-    known = classes.join(reach, "sig", "left").join(degree, "sig", "left").select("sig", F.coalesce("least_id", "first_id").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    full = rows.where("sig is not null").join(known, "sig").select("id", "th", F.col("n").alias("n_shingles"), "component_id", "n_links")
-    none = rows.where("sig is null").select("id", "th", F.col("n").alias("n_shingles"), F.col("id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
+    known = classes.join(reach, "sig", "left").join(degree, "sig", "left").select("sig", F.coalesce("root", "sig").alias("component"), F.coalesce("least_id", "first_id").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    full = rows.where("sig is not null").join(known, "sig").select("id", "th", F.col("n").alias("n_shingles"), "component_id", "n_links", "component")
+    none = rows.where("sig is null").select("id", "th", F.col("n").alias("n_shingles"), F.col("id").alias("component_id"), F.lit(0).cast("long").alias("n_links"), F.lit(None).cast("binary").alias("component"))
     return full.union(none)
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
     """``df`` with one document of each component: that of the smallest id.
 
-    Of rows with the same id and text one stays.  Rows whose component has only null ids all stay but
-    for copies of one text.
+    Of rows with the same id and text one stays; null ids come last.  Documents without words all stay.
     """
-    found = materialize(near_duplicates(df, id_col, text_col, words, percent), "jaccard-found")
-    key = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    marked = df.withColumn("__th", key)
-    gone = found.where(~F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("__id"), F.col("th").alias("__gone")).distinct()
+    found = materialize(near_duplicates(df, id_col, text_col, words, percent).where("component is not null"), "jaccard-found")
+    rank = F.struct(F.coalesce("id", F.lit((1 << 63) - 1)).alias("id"), F.col("th"))
+    first = found.groupBy("component").agg(F.min(rank).alias("first"), F.count("*").alias("n")).where("n > 1")
+    gone = found.join(first, "component").where(rank != F.col("first")).select(F.col("id").alias("g_id"), F.col("th").alias("g_th")).distinct()
     if gone.count() <= BROADCAST_ROWS:
         gone = F.broadcast(gone)
-    left = marked.join(gone, F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.col("__th") == F.col("__gone")), "left_anti")
-    twice = found.where(F.col("id").eqNullSafe(F.col("component_id")) & (F.col("n_shingles") > 0)).groupBy("id", "th").count().where("count > 1")
-    if twice.limit(1).count():
-        left = left.where(key == F.xxhash64(F.lit(""))).union(left.where(key != F.xxhash64(F.lit(""))).dropDuplicates([id_col, "__th"]))
-    return left.drop("__th")
+    packed = df.select(F.struct(*df.columns).alias("row"), F.col(id_col).cast("long").alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("th"))
+    left = packed.join(gone, F.col("id").eqNullSafe(F.col("g_id")) & (F.col("th") == F.col("g_th")), "left_anti")
+    repeated = found.groupBy(F.col("id").alias("r_id"), F.col("th").alias("r_th")).agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    if repeated.limit(1).count():
+        same = F.col("id").eqNullSafe(F.col("r_id")) & (F.col("th") == F.col("r_th"))
+        left = left.join(repeated, same, "left_anti").select("row").union(left.join(repeated, same, "left_semi").dropDuplicates(["id", "th"]).select("row"))
+    return left.select("row.*")
