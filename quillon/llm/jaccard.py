@@ -7,6 +7,8 @@
 3. Classes of identical prefix and size are collapsed to one group.
 4. Groups that share a shingle of their prefixes are paired, if sizes and places of the shared
    shingle allow the overlap.  A pair that shares a run of shingles comes up at the run's start only.
+   Shingles in at most ``DENSE`` prefixes make rows of pairs.  Others, as a large group of near
+   copies has, make no pairs here: their groups are sent to meet in (5), a row each.
    Pairs of single classes must also pass their parity sketches: a bit for each hash value modulo a
    power of two near the set's size, flipped by every shingle that falls there.  Two sketches differ
    in no more bits than the sets differ in shingles, so no pair that links is lost.
@@ -24,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,6 +38,8 @@ from quillon.llm.components import connected_components
 CHUNK = 4_000_000
 #: Documents from which on a shingle goes to the end of the order.
 FREQUENT = 32
+#: Prefixes up to which a shingle makes rows of pairs.
+DENSE = 64
 #: Shingles of a verification block, about; larger neighbourhoods are cut into blocks against blocks.
 BLOCK = 2_000_000
 #: Rows up to which a list of documents is broadcast (about 100 bytes a row); longer lists are joined by shuffle.
@@ -154,19 +159,34 @@ def _prefixes(docs: DataFrame, words: int, percent: int, frequent) -> DataFrame:
     return docs.mapInArrow(frugal(run), "sig binary, n long, gid long, prefix array<long>, sketch binary")
 
 
+def _meeting(percent: int, gid, n, pos, prev, side) -> np.ndarray:
+    """Pairs of groups, as rows ``(x, y)``, that one dense shingle brings together."""
+    out = [np.empty((0, 2), np.int64)]
+    for at in range(0, len(gid), 256):
+        i = np.arange(at, min(at + 256, len(gid)))[:, None]
+        j = np.arange(len(gid))[None, :]
+        both = n[i] + n[j]
+        fine = (np.minimum(n[i], n[j]) * 100 >= np.maximum(n[i], n[j]) * percent) & (np.minimum(n[i] - pos[i], n[j] - pos[j]) * (100 + percent) >= both * percent)
+        fine &= (i < j) & ((side[i] < 0) | (side[i] != side[j])) & ((prev[i] == 0) | (prev[i] != prev[j]))
+        x, y = np.nonzero(fine)
+        out.append(np.stack([gid[x + at], gid[y]], axis=1))
+    return np.concatenate(out)
+
+
 def _verify(words: int, percent: int):
-    def run(sets: pa.Table, pairs: pa.Table) -> pa.Table:
-        """Links between the classes of paired groups: a row for each class that has any."""
-        first: dict[bytes, int] = {}
+    def run(sets: pa.Table, met: pa.Table) -> pa.Table:
+        """Links between the classes of groups that meet in a block: a row for each class that has any."""
+        first: set[bytes] = set()
         members: dict[int, list[int]] = {}
         arrays, weight, names = [], [], []
         for gid, sig, copies, blob in zip(*(sets.column(c).to_pylist() for c in ("gid", "sig", "copies", "s"))):
             if sig not in first:
-                first[sig] = len(names)
+                first.add(sig)
                 members.setdefault(gid, []).append(len(names))
                 names.append(sig)
                 weight.append(copies)
                 arrays.append(np.frombuffer(blob, dtype=np.uint64))
+        marks = [sketch(x) for x in arrays]
         root = list(range(len(names)))
         links = [0] * len(names)
 
@@ -176,7 +196,7 @@ def _verify(words: int, percent: int):
                 i = root[i]
             return i
 
-        for a, b in zip(pairs.column("a").to_pylist(), pairs.column("b").to_pylist()):
+        def compare(a: int, b: int) -> None:
             for i in members.get(a, ()):
                 for j in members.get(b, ()):
                     if a == b and j <= i:
@@ -184,7 +204,7 @@ def _verify(words: int, percent: int):
                     x, y = arrays[i], arrays[j]
                     if len(x) > len(y):
                         x, y = y, x
-                    if 100 * len(x) < percent * len(y):
+                    if 100 * len(x) < percent * len(y) or differing(marks[i], marks[j]) * (100 + percent) > (len(x) + len(y)) * (100 - percent):
                         continue
                     at = np.searchsorted(y, x)
                     at[at == len(y)] = 0
@@ -193,17 +213,43 @@ def _verify(words: int, percent: int):
                         links[i] += weight[j]
                         links[j] += weight[i]
                         root[top(i)] = top(j)
+
+        light, dense = (met.filter(f(met.column("token"))) for f in (pc.is_null, pc.is_valid))  # without nulls, ids stay integers
+        seen = {(min(p), max(p)) for p in zip(light.column("a").to_pylist(), light.column("b").to_pylist())}
+        for a, b in seen:
+            compare(a, b)
+        dense = dense.sort_by("token")
+        tokens, gids, sizes, befores, sides = (dense.column(c).to_numpy() for c in ("token", "a", "np", "prev", "side"))
+        cuts = [0, *(np.flatnonzero(tokens[1:] != tokens[:-1]) + 1).tolist(), len(tokens)]
+        for lo, hi in zip(cuts, cuts[1:]):
+            gid, size, prev, side = gids[lo:hi], sizes[lo:hi], befores[lo:hi], sides[lo:hi]
+            for a, b in _meeting(percent, gid, size >> 24, size & ((1 << 24) - 1), prev, side).tolist():
+                pair = (a, b) if a < b else (b, a)
+                if pair not in seen:
+                    seen.add(pair)
+                    compare(a, b)
         kept = [i for i in range(len(names)) if links[i]]
         return pa.table({"sig": pa.array([names[i] for i in kept], pa.binary()), "root": pa.array([names[top(i)] for i in kept], pa.binary()), "links": pa.array([links[i] for i in kept], pa.int64())})
 
     return run
 
 
-def _paired(groups: DataFrame, percent: int) -> DataFrame:
-    """Pairs of groups that share a shingle of their prefixes at places that leave room for the overlap."""
+def _small(df: DataFrame) -> DataFrame:
+    """A broadcast hint for a table that was counted and is small enough; any other is joined by shuffle."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
+def _entries(groups: DataFrame) -> DataFrame:
+    """``token, gid, np, prev``: a row for each shingle of a prefix, with the size and the place in one number, and the shingle before it."""
     at = groups.select("gid", "n", F.posexplode("prefix").alias("pos", "token"), "prefix")
-    # A pair that also shares the shingle before has come up there already.
-    entry = at.select("token", "gid", (F.col("n") * (1 << 24) + F.col("pos")).alias("np"), F.when(F.col("pos") > 0, F.get("prefix", F.col("pos") - 1)).alias("prev"))
+    return at.select("token", "gid", (F.col("n") * (1 << 24) + F.col("pos")).alias("np"), F.when(F.col("pos") > 0, F.get("prefix", F.col("pos") - 1)).otherwise(0).alias("prev"))
+
+
+def _paired(entry: DataFrame, percent: int) -> DataFrame:
+    """Pairs of groups that share a shingle of their prefixes at places that leave room for the overlap.
+
+    A pair that also shares the shingle before has come up there already.
+    """
     x, y = entry.alias("x"), entry.alias("y")
 
     def col(side: str, name: str) -> Column:
@@ -218,7 +264,7 @@ def _paired(groups: DataFrame, percent: int) -> DataFrame:
         & (smaller | ((nx == ny) & (F.col("x.gid") < F.col("y.gid"))))
         & (nx * 100 >= ny * percent)
         & (room * (100 + percent) >= (nx + ny) * percent)
-        & (F.col("x.prev").isNull() | F.col("y.prev").isNull() | (F.col("x.prev") != F.col("y.prev"))),
+        & ((F.col("x.prev") == 0) | (F.col("x.prev") != F.col("y.prev"))),
     )
     return joined.select(F.col("x.gid").alias("a"), F.col("y.gid").alias("b")).distinct()
 
@@ -268,19 +314,37 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     members = prefixes.select("gid", "sig", "n").distinct()
     sizes = members.groupBy("gid").agg(F.count("*").alias("m"), F.sum("n").alias("tokens"))
     within = sizes.where("m > 1").select(F.col("gid").alias("a"), F.col("gid").alias("b"))
-    met = materialize(_paired(groups.select("gid", "n", "prefix"), percent), "jaccard-met")
+    entry = _entries(groups.select("gid", "n", "prefix"))
+    dense = materialize(entry.groupBy("token").agg(F.count("*").alias("m")).where(F.col("m") > DENSE).select("token"), "jaccard-tokens")
+    hubs = materialize(entry.join(_small(dense), "token", "left_semi"), "jaccard-dense")
+    met = materialize(_paired(entry.join(_small(dense), "token", "left_anti"), percent), "jaccard-met")
     pairs = materialize(_sketched(met, groups.select("gid", "n", "single", "sketch"), percent).union(within), "jaccard-pairs")
 
     # Blocks: neighbours under one label, by two steps of the smallest neighbour; any labels would do.
     both = pairs.union(pairs.select("b", "a"))
-    label = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("label"))
-    label = both.join(label.select(F.col("a").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("label"))
+    spokes = hubs.select("token", F.col("gid").alias("a"))
+    hub = spokes.groupBy("token").agg(F.min("a").alias("m"))
+    label = both.union(spokes.select("a", "a")).union(spokes.join(_small(hub), "token").select("a", "m")).groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("label"))
+    label = materialize(label, "jaccard-label")
+    hub = spokes.join(label, "a").groupBy("token").agg(F.min("label").alias("label"))
+    near = both.join(label.select(F.col("a").alias("b"), "label"), "b").select("a", "label")
+    label = near.union(label).union(spokes.join(_small(hub), "token").select("a", "label")).groupBy("a").agg(F.min("label").alias("label"))
     label = label.join(sizes.select(F.col("gid").alias("a"), "tokens"), "a")
-    cuts = label.groupBy("label").agg(F.ceil(F.sum("tokens") / BLOCK).alias("cuts"))
-    chunk = label.join(cuts, "label").select("a", F.xxhash64("label", F.pmod(F.xxhash64("a"), "cuts")).alias("chunk"))
-    blocks = pairs.join(chunk.withColumnRenamed("chunk", "ca"), "a").join(chunk.select(F.col("a").alias("b"), F.col("chunk").alias("cb")), "b")
-    blocks = materialize(blocks.select("a", "b", F.xxhash64(F.least("ca", "cb"), F.greatest("ca", "cb")).alias("block")), "jaccard-blocks")
-    needed = blocks.select(F.col("a").alias("gid"), "block").union(blocks.select("b", "block")).groupBy("gid").agg(F.collect_set("block").alias("blocks"))
+    cuts = label.groupBy("label").agg(F.ceil(F.sum("tokens") / BLOCK).alias("cuts")).where("cuts > 1")
+    chunk = label.join(_small(cuts), "label", "left").select("a", F.xxhash64("label", F.pmod(F.xxhash64("a"), F.coalesce("cuts", F.lit(1)))).alias("chunk"))
+    chunk = materialize(chunk, "jaccard-chunks")
+    block = lambda x, y: F.xxhash64(F.least(x, y), F.greatest(x, y)).alias("block")
+    blank = [F.lit(None).cast("long").alias(c) for c in ("token", "np", "prev", "side")]
+    paired = pairs.join(chunk.withColumnRenamed("chunk", "ca"), "a").join(chunk.select(F.col("a").alias("b"), F.col("chunk").alias("cb")), "b")
+    paired = paired.select(block("ca", "cb"), "a", "b", *blank)
+    spread = hubs.withColumnRenamed("gid", "a").join(chunk, "a")
+    reached = spread.groupBy("token").agg(F.collect_set("chunk").alias("chunks"))
+    spread = spread.join(_small(reached), "token").withColumn("other", F.explode("chunks"))
+    side = F.when(F.col("chunk") == F.col("other"), -1).when(F.col("chunk") < F.col("other"), 0).otherwise(1).cast("long").alias("side")
+    spread = spread.select(block("chunk", "other"), "a", F.lit(None).cast("long").alias("b"), "token", "np", "prev", side)
+    blocks = materialize(paired.union(spread), "jaccard-blocks")
+    ends = blocks.select(F.col("a").alias("gid"), "block").union(blocks.where("b is not null").select("b", "block"))
+    needed = ends.groupBy("gid").agg(F.collect_set("block").alias("blocks"))
     wanted = needed.join(members, "gid").join(classes.select("sig", "copies", "first_id", "th"), "sig")
     wanted = materialize(wanted.select(F.col("th").alias("w_th"), F.col("first_id").alias("w_id"), "gid", "sig", "copies", "blocks"), "jaccard-wanted")
     if wanted.count() <= BROADCAST_ROWS:
