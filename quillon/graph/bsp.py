@@ -61,12 +61,14 @@ def run(
     checkpoint: Callable[[int], bool] = lambda superstep: True,
     on_superstep: Callable[[int, DataFrame], None] | None = None,
     create_missing: bool = False,
+    until_quiet: bool = True,
 ) -> DataFrame:
     """``id, value`` when all vertices have halted and no message is left, or after ``max_supersteps``.
 
     ``vertices`` has ``id`` and may have ``value``; ``edges`` has ``src, dst`` and may have
-    ``weight``.  ``checkpoint`` says after which supersteps to write the state (jobs that count
-    active vertices need it every time; it defaults to that).
+    ``weight``.  ``checkpoint`` says after which supersteps to write the state; jobs that count
+    active vertices need it every time.  A program that runs a fixed number of supersteps need not
+    count: with ``until_quiet`` false supersteps chain up in one plan between checkpoints.
     """
     if "value" not in vertices.columns:
         vertices = vertices.withColumn("value", F.lit(None).cast("double"))
@@ -80,11 +82,14 @@ def run(
     state = state.select("id", "value", program.first_sends(F.col("value"), step).alias("sends"), program.halts(F.col("value"), step).alias("halted"))
     state = materialize(state, "superstep")
     while True:
-        totals = _totals(state, program)
-        step.aggregates = {k: totals[k] for k in program.aggregators}
+        quiet = False
+        if until_quiet or program.aggregators:
+            totals = _totals(state, program)
+            step.aggregates = {k: totals[k] for k in program.aggregators}
+            quiet = until_quiet and not (totals["__send"] or totals["__awake"])
         if on_superstep:
             on_superstep(step.superstep, state)
-        if step.superstep >= max_supersteps or program.stop(step) or not (totals["__send"] or totals["__awake"]):
+        if step.superstep >= max_supersteps or program.stop(step) or quiet:
             return state.select("id", "value")
         step = Step(step.superstep + 1, step.vertices, step.aggregates)
         sent = state.where("sends").select(F.col("id").alias("src"), "value").join(edges, "src")

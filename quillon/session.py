@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,7 +28,32 @@ def session(app: str = "quillon", **settings: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+#: Rows of an Arrow batch: with texts of up to a few MB each a batch stays small in memory on both sides.
+ARROW_ROWS = "1000"
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package, once a context: they need not have it installed.
+
+    Also makes Arrow batches smaller, unless the session sets their size itself.
+    """
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":  # the default
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+    context = spark.sparkContext
+    if getattr(context, "_quillon_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    if root.is_dir():
+        path = Path(tempfile.mkdtemp()).resolve() / "quillon.zip"
+        with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+            for p in sorted(root.rglob("*.py")):
+                z.write(p, Path("quillon") / p.relative_to(root))
+        context.addPyFile(str(path))
+    context._quillon_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
