@@ -4,48 +4,19 @@ from __future__ import annotations
 
 import ctypes
 import math
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: ASCII white space that separates words; everything else is part of a word.
-WORD = r"[^\x20\x09-\x0D]+"
-
-
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
+from quillon.session import materialize
+from quillon.session import table as read_table
 
-    ``spark.checkpoint.dir`` if the cluster names one; in local mode a folder of our own; otherwise
-    the warehouse, which every cluster shares.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if spark.sparkContext.master.startswith("local"):
-        return "file:///tmp/checkpoints/quillon"
-    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_quillon"
-
-
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back.
+__all__ = ["WORD", "frugal", "materialize", "range_index", "read_table"]
 
-    This cuts the lineage: what follows survives the loss of any executor, is computed once however
-    often it is read, and is smaller than a checkpoint of rows.  The folder goes when the driver ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
+#: ASCII white space that separates words; everything else is part of a word.
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def frugal(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], rows: int = 1000) -> Callable:

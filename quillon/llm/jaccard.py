@@ -105,8 +105,11 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
         names = ["id", "th", "n", "sig", "shingles", "counts"]
 
         def counted():
-            got, times = np.unique(np.concatenate(waiting), return_counts=True)
-            got, times = got[times > 1], times[times > 1]
+            every = np.concatenate(waiting)
+            waiting.clear()
+            every.sort()
+            got, times = np.unique(every[1:][every[1:] == every[:-1]], return_counts=True)
+            times += 1
             return pa.RecordBatch.from_arrays(
                 [pa.array([None], pa.int64()), pa.array([None], pa.int64()), pa.array([None], pa.int64()), pa.array([None], pa.binary()), pa.array([got.view(np.int64)], pa.list_(pa.int64())), pa.array([times], pa.list_(pa.int64()))],
                 names=names,
@@ -123,7 +126,7 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
                     held += len(s)
                 if held >= CHUNK:
                     yield counted()
-                    waiting, held, seen = [], 0, set()
+                    held, seen = 0, set()
             none = pa.nulls(len(n), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("th"), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), none, none], names=names)
         if waiting:
@@ -159,33 +162,42 @@ def _prefixes(docs: DataFrame, words: int, percent: int, frequent) -> DataFrame:
     return docs.mapInArrow(frugal(run), "sig binary, n long, gid long, prefix array<long>, sketch binary")
 
 
-def _meeting(percent: int, gid, n, pos, prev, side) -> np.ndarray:
-    """Pairs of groups, as rows ``(x, y)``, that one dense shingle brings together."""
-    out = [np.empty((0, 2), np.int64)]
-    for at in range(0, len(gid), 256):
-        i = np.arange(at, min(at + 256, len(gid)))[:, None]
-        j = np.arange(len(gid))[None, :]
-        both = n[i] + n[j]
-        fine = (np.minimum(n[i], n[j]) * 100 >= np.maximum(n[i], n[j]) * percent) & (np.minimum(n[i] - pos[i], n[j] - pos[j]) * (100 + percent) >= both * percent)
-        fine &= (i < j) & ((side[i] < 0) | (side[i] != side[j])) & ((prev[i] == 0) | (prev[i] != prev[j]))
-        x, y = np.nonzero(fine)
-        out.append(np.stack([gid[x + at], gid[y]], axis=1))
-    return np.concatenate(out)
+def _meeting(percent: int, n, pos, prev, side) -> tuple[np.ndarray, np.ndarray]:
+    """Places i < j of the rows of one dense shingle whose groups it brings together."""
+    found_i, found_j = [], []
+    step = max(1, 200_000 // max(1, len(n)))
+    for at in range(0, len(n), step):
+        i, j = slice(at, at + step), slice(at + 1, None)
+        x, y = (lambda v: v[i, None]), (lambda v: v[None, j])
+        both = x(n) + y(n)
+        fine = np.minimum(x(n), y(n)) * 100 >= np.maximum(x(n), y(n)) * percent
+        fine &= np.minimum(x(n - pos), y(n - pos)) * (100 + percent) >= both * percent
+        fine &= (x(side) < 0) | (x(side) != y(side))
+        fine &= (x(prev) == 0) | (x(prev) != y(prev))
+        a, b = np.nonzero(fine)
+        later = b >= a  # column b is place at + 1 + b, row a is place at + a
+        found_i.append(a[later] + at)
+        found_j.append(b[later] + at + 1)
+    return np.concatenate([np.empty(0, np.int64), *found_i]), np.concatenate([np.empty(0, np.int64), *found_j])
 
 
 def _verify(words: int, percent: int):
     def run(sets: pa.Table, met: pa.Table) -> pa.Table:
         """Links between the classes of groups that meet in a block: a row for each class that has any."""
+        place: dict[int, int] = {}
+        members: list[list[int]] = []
         first: set[bytes] = set()
-        members: dict[int, list[int]] = {}
         arrays, weight, names = [], [], []
-        for gid, sig, copies, blob in zip(*(sets.column(c).to_pylist() for c in ("gid", "sig", "copies", "s"))):
+        for gid, sig, copies, blob in zip(sets.column("gid").to_pylist(), sets.column("sig").to_pylist(), sets.column("copies").to_pylist(), sets.column("s")):
             if sig not in first:
                 first.add(sig)
-                members.setdefault(gid, []).append(len(names))
+                if gid not in place:
+                    place[gid] = len(members)
+                    members.append([])
+                members[place[gid]].append(len(names))
                 names.append(sig)
                 weight.append(copies)
-                arrays.append(np.frombuffer(blob, dtype=np.uint64))
+                arrays.append(np.frombuffer(blob.as_buffer(), dtype=np.uint64))  # a view, not a copy
         marks = [sketch(x) for x in arrays]
         root = list(range(len(names)))
         links = [0] * len(names)
@@ -196,38 +208,48 @@ def _verify(words: int, percent: int):
                 i = root[i]
             return i
 
-        def compare(a: int, b: int) -> None:
-            for i in members.get(a, ()):
-                for j in members.get(b, ()):
-                    if a == b and j <= i:
-                        continue
-                    x, y = arrays[i], arrays[j]
-                    if len(x) > len(y):
-                        x, y = y, x
-                    if 100 * len(x) < percent * len(y) or differing(marks[i], marks[j]) * (100 + percent) > (len(x) + len(y)) * (100 - percent):
-                        continue
-                    at = np.searchsorted(y, x)
-                    at[at == len(y)] = 0
-                    both = int(np.count_nonzero(y[at] == x))
-                    if 100 * both >= percent * (len(x) + len(y) - both):
-                        links[i] += weight[j]
-                        links[j] += weight[i]
-                        root[top(i)] = top(j)
-
+        def compare(i: int, j: int) -> None:
+            x, y = arrays[i], arrays[j]
+            if len(x) > len(y):
+                x, y = y, x
+            if 100 * len(x) < percent * len(y) or differing(marks[i], marks[j]) * (100 + percent) > (len(x) + len(y)) * (100 - percent):
+                return
+            at = np.searchsorted(y, x)
+            at[at == len(y)] = 0
+            both = int(np.count_nonzero(y[at] == x))
+            if 100 * both >= percent * (len(x) + len(y) - both):
+                links[i] += weight[j]
+                links[j] += weight[i]
+                root[top(i)] = top(j)
+
+        size = max(1, len(members))
+        seen = np.empty(0, np.int64)  # pairs of groups, as numbers, each compared once
+
+        def meet(a: np.ndarray, b: np.ndarray) -> None:
+            nonlocal seen
+            codes = np.setdiff1d(np.minimum(a, b) * size + np.maximum(a, b), seen)
+            seen = np.union1d(seen, codes)
+            for code in codes:
+                g, h = divmod(int(code), size)
+                for i in members[g]:
+                    for j in members[h]:
+                        if g != h or i < j:
+                            compare(i, j)
+
+        where = lambda column: np.array([place.get(g, -1) for g in column.to_pylist()], dtype=np.int64)
         light, dense = (met.filter(f(met.column("token"))) for f in (pc.is_null, pc.is_valid))  # without nulls, ids stay integers
-        seen = {(min(p), max(p)) for p in zip(light.column("a").to_pylist(), light.column("b").to_pylist())}
-        for a, b in seen:
-            compare(a, b)
+        a, b = where(light.column("a")), where(light.column("b"))
+        known = (a >= 0) & (b >= 0)
+        meet(a[known], b[known])
         dense = dense.sort_by("token")
-        tokens, gids, sizes, befores, sides = (dense.column(c).to_numpy() for c in ("token", "a", "np", "prev", "side"))
+        groups = where(dense.column("a"))
+        tokens, sizes, befores, sides = (dense.column(c).to_numpy() for c in ("token", "np", "prev", "side"))
         cuts = [0, *(np.flatnonzero(tokens[1:] != tokens[:-1]) + 1).tolist(), len(tokens)]
         for lo, hi in zip(cuts, cuts[1:]):
-            gid, size, prev, side = gids[lo:hi], sizes[lo:hi], befores[lo:hi], sides[lo:hi]
-            for a, b in _meeting(percent, gid, size >> 24, size & ((1 << 24) - 1), prev, side).tolist():
-                pair = (a, b) if a < b else (b, a)
-                if pair not in seen:
-                    seen.add(pair)
-                    compare(a, b)
+            i, j = _meeting(percent, sizes[lo:hi] >> 24, sizes[lo:hi] & ((1 << 24) - 1), befores[lo:hi], sides[lo:hi])
+            a, b = groups[lo:hi][i], groups[lo:hi][j]
+            known = (a >= 0) & (b >= 0)
+            meet(a[known], b[known])
         kept = [i for i in range(len(names)) if links[i]]
         return pa.table({"sig": pa.array([names[i] for i in kept], pa.binary()), "root": pa.array([names[top(i)] for i in kept], pa.binary()), "links": pa.array([links[i] for i in kept], pa.int64())})
 
