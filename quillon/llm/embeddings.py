@@ -43,23 +43,38 @@ def signatures(vectors: np.ndarray, bits: int, tables: int, seed: int = SEED) ->
     return signs @ (1 << np.arange(bits, dtype=np.int64))
 
 
+def _sig_type(bits: int):
+    return np.int32 if bits < 31 else np.int64
+
+
 def _class_key(label, v: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(v.tobytes(), seed=label & 0xFFFFFFFFFFFFFFFF)
 
 
+def pack(a: np.ndarray) -> bytes:
+    """A vector as bytes, in single precision if that loses nothing."""
+    single = a.astype(np.float32)
+    return single.tobytes() if (single == a).all() else a.tobytes()
+
+
+def unpack(b: bytes, dim: int) -> np.ndarray:
+    return np.frombuffer(b, dtype=np.float32 if len(b) == 4 * dim else np.float64).astype(np.float64)
+
+
 def _classes(df: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, vectors = [], []
+            keys, vectors, dims = [], [], []
             for label, v in zip(batch.column("label").to_pylist(), batch.column("v")):
                 a = v.as_py()
                 a = None if a is None or label is None or None in a else np.array(a, dtype=np.float64) + 0.0
                 fine = a is not None and len(a) and np.isfinite(a).all() and a.any()
                 keys.append(_class_key(label, a) if fine else None)
-                vectors.append(a.tobytes() if fine else None)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("label"), pa.array(keys, pa.binary()), pa.array(vectors, pa.binary())], names=["id", "label", "cls", "v"])
+                vectors.append(pack(a) if fine else None)
+                dims.append(len(a) if fine else None)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("label"), pa.array(keys, pa.binary()), pa.array(dims, pa.int64()), pa.array(vectors, pa.binary())], names=["id", "label", "cls", "dim", "v"])
 
-    return df.mapInArrow(frugal(run), "id long, label long, cls binary, v binary")
+    return df.mapInArrow(frugal(run), "id long, label long, cls binary, dim long, v binary")
 
 
 def _entries(classes: DataFrame, bits: int, tables: int) -> DataFrame:
@@ -67,42 +82,39 @@ def _entries(classes: DataFrame, bits: int, tables: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = list(zip(*(batch.column(c).to_pylist() for c in ("label", "cls", "copies", "v"))))
-            for size in {len(r[3]) for r in rows}:
-                own = [r for r in rows if len(r[3]) == size]
-                for at in range(0, len(own), 1000):
-                    part = own[at : at + 1000]
-                    v = np.stack([np.frombuffer(r[3], dtype=np.float64) for r in part])
-                    sigs = signatures(v, bits, tables)
-                    n = len(part)
-                    blobs = [s.tobytes() for s in sigs]
-                    over = lambda i: [r[i] for r in part for _ in range(tables)]
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(over(0), pa.int64()),
-                            pa.array([size] * (n * tables), pa.int64()),
-                            pa.array(list(range(tables)) * n, pa.int64()),
-                            pa.array(sigs.reshape(-1), pa.int64()),
-                            pa.array(over(1), pa.binary()),
-                            pa.array(over(2), pa.int64()),
-                            pa.array([b for b in blobs for _ in range(tables)], pa.binary()),
-                            pa.array(over(3), pa.binary()),
-                        ],
-                        names=["label", "dim", "tab", "sig", "cls", "copies", "sigs", "v"],
-                    )
+            rows = list(zip(*(batch.column(c).to_pylist() for c in ("label", "dim", "cls", "copies", "v"))))
+            for dim in {r[1] for r in rows}:
+                part = [r for r in rows if r[1] == dim]
+                n = len(part)
+                sigs = signatures(np.stack([unpack(r[4], dim) for r in part]), bits, tables)
+                blobs = [s.tobytes() for s in sigs.astype(_sig_type(bits))]
+                over = lambda i: [r[i] for r in part for _ in range(tables)]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(over(0), pa.int64()),
+                        pa.array([dim] * (n * tables), pa.int64()),
+                        pa.array(list(range(tables)) * n, pa.int64()),
+                        pa.array(sigs.reshape(-1), pa.int64()),
+                        pa.array(over(2), pa.binary()),
+                        pa.array(over(3), pa.int64()),
+                        pa.array([b for b in blobs for _ in range(tables)], pa.binary()),
+                        pa.array(over(4), pa.binary()),
+                    ],
+                    names=["label", "dim", "tab", "sig", "cls", "copies", "sigs", "v"],
+                )
 
     return classes.mapInArrow(frugal(run), "label long, dim long, tab long, sig long, cls binary, copies long, sigs binary, v binary")
 
 
-def _compare(cosine: float):
+def _compare(cosine: float, bits: int):
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         """Links between the classes of a block: a row for each class that has any."""
-        tab, lo, hi = key[3].as_py(), key[4].as_py(), key[5].as_py()
+        dim, tab, lo, hi = key[1].as_py(), key[3].as_py(), key[4].as_py(), key[5].as_py()
         part = np.array(table.column("part").to_pylist())
         cls, copies = table.column("cls").to_pylist(), np.array(table.column("copies").to_pylist(), dtype=np.int64)
-        v = np.stack([np.frombuffer(b, dtype=np.float64) for b in table.column("v").to_pylist()])
+        v = np.stack([unpack(b, dim) for b in table.column("v").to_pylist()])
         v = v / np.linalg.norm(v, axis=1, keepdims=True)
-        sigs = np.stack([np.frombuffer(b, dtype=np.int64) for b in table.column("sigs").to_pylist()])
+        sigs = np.stack([np.frombuffer(b, dtype=_sig_type(bits)) for b in table.column("sigs").to_pylist()])
         left = np.flatnonzero(part == lo)
         right = left if lo == hi else np.flatnonzero(part == hi)
         links, root = np.zeros(len(cls), dtype=np.int64), list(range(len(cls)))
@@ -145,17 +157,17 @@ def near_duplicate_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: st
     source = df.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("long").alias("label"), F.col(vector_col).cast("array<double>").alias("v"))
     rows = materialize(_classes(source), "vec-rows")
     fine = rows.where("cls is not null")
-    classes = materialize(fine.groupBy("cls").agg(F.min("id").alias("first_id"), F.count("*").alias("copies"), F.first("label").alias("label"), F.first("v").alias("v")), "vec-classes")
+    classes = materialize(fine.groupBy("cls").agg(F.min("id").alias("first_id"), F.count("*").alias("copies"), F.first("label").alias("label"), F.first("dim").alias("dim"), F.first("v").alias("v")), "vec-classes")
     most = classes.groupBy("label").count().agg(F.max("count")).first()[0] or 1
     bits, tables = table_sizes(most, cosine, miss)
-    entries = _entries(classes.select("label", "cls", "copies", "v"), bits, tables)
+    entries = _entries(classes.select("label", "dim", "cls", "copies", "v"), bits, tables)
     where = ["label", "dim", "sig", "tab"]
     sized = materialize(entries, "vec-entries")
     counts = sized.groupBy(*where).agg(F.count("*").alias("m")).where("m > 1").withColumn("cuts", F.ceil(F.col("m") / BUCKET).cast("int")).drop("m")
     met = sized.join(counts, where).withColumn("part", F.pmod(F.xxhash64("cls"), "cuts").cast("int"))
     spread = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
     spread = spread.withColumn("lo", F.least("part", "other")).withColumn("hi", F.greatest("part", "other"))
-    linked = materialize(spread.groupBy(*where, "lo", "hi").applyInArrow(_compare(cosine), "cls binary, root binary, links long"), "vec-links")
+    linked = materialize(spread.groupBy(*where, "lo", "hi").applyInArrow(_compare(cosine, bits), "cls binary, root binary, links long"), "vec-links")
 
     comp = connected_components(linked.select(F.col("cls").alias("a"), F.col("root").alias("b")))
     reach = comp.select(F.col("node").alias("cls"), "root").join(classes.select("cls", "first_id"), "cls")
