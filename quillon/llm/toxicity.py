@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.common import frugal, materialize
+from quillon.llm.jaccard import shingle_set
 
 # The closed classes of the grammar.
 THREATS = frozenset("kill hurt destroy murder beat burn shoot stab crush punish matar golpear destruir tuer frapper détruire töten schlagen vernichten".split())
@@ -37,6 +38,8 @@ CLAUSE_ENDS = ".!?;\n"
 TRAINING_ROWS = 20_000
 #: Terms of the lexicon, at most.
 LEXICON = 5_000
+#: Log odds of being toxic that rows with a term must have at least.
+LEAST_ODDS = 0.6
 _PREFIXES = (4, 5, 6)
 _WORD = regex.compile(r"[\p{L}\p{M}'’]+")
 
@@ -124,6 +127,20 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
     return docs.select(F.col(id_col).alias("d_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).join(F.broadcast(wanted), F.col("d_id") == F.col("l_id")).select("t", "y")
 
 
+def _one_of_each(rows: DataFrame) -> DataFrame:
+    """The rows without near copies: one for each least hash of five-word shingles.
+
+    Near copies of a toxic text would make every rare word of it look toxic.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            least = [int(s[0]) if len(s) else 0 for s in (shingle_set(t.as_py(), 5) for t in batch.column("t"))]
+            yield pa.RecordBatch.from_arrays([batch.column("t"), batch.column("y"), pa.array(np.array(least, dtype=np.uint64).view(np.int64))], names=["t", "y", "least"])
+
+    return rows.mapInArrow(frugal(run), "t string, y int, least long").groupBy("least").agg(F.max_by("t", F.struct("y", "t")).alias("t"), F.max("y").alias("y")).select("t", "y")
+
+
 def _term_counts(rows: DataFrame, only=None) -> DataFrame:
     """``term, n``: in how many rows each term comes."""
 
@@ -152,7 +169,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     Without any labelled toxic document only the fixed classes count.
     """
     spark = docs.sparkSession
-    sample = materialize(training_rows(docs, labels, id_col, text_col, label_col, rows), "tox-train")
+    sample = materialize(_one_of_each(training_rows(docs, labels, id_col, text_col, label_col, rows)), "tox-train")
     n = {r.y: r.k for r in sample.groupBy("y").agg(F.count("*").alias("k")).collect()}
     n_pos, n_neg = n.get(1, 0), n.get(0, 0)
     grammar = Grammar()
@@ -166,12 +183,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     odds = {}
     for t, k in pos.items():
         other = neg.get(t, 0)
-        # A term must be clearly rarer in the other rows: the lower end of an interval of the log odds.
-        value = math.log((k + 0.5) / (n_pos + 1)) - math.log((other + 0.5) / (n_neg + 1)) - 1.64 * math.sqrt(1 / (k + 0.5) + 1 / (other + 0.5))
-        if value > 1.5:
+        # Most rows with the term must be toxic: the lower end of an interval of the log odds.
+        value = math.log((k + 0.5) / (other + 0.5)) - math.sqrt(1 / (k + 0.5) + 1 / (other + 0.5))
+        if value > LEAST_ODDS:
             odds[t] = value
     best = sorted(odds, key=lambda t: (-odds[t], t))[:LEXICON]
-    grammar.lexicon = {t: min(3.0, odds[t] / 1.5) for t in best}
+    grammar.lexicon = {t: min(3.0, odds[t]) for t in best}
 
     # The scale of the logistic, on the sample's weights.
     shared = spark.sparkContext.broadcast(grammar)
