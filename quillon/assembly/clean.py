@@ -158,6 +158,26 @@ def remove_bridges(g: Graph, longest: int | None = None) -> Graph:
     return without(g, crowded.where("n > 1").select("node"))
 
 
+def unroll_tandem(g: Graph) -> Graph:
+    """A node that leads to itself between one edge in and one edge out is read twice, and its loop goes.
+
+    Only loops in the forward strand are unrolled, and each once: how often a repeat occurs cannot be
+    told from the graph.
+    """
+    d = g.edges.groupBy(F.col("src").alias("node")).agg(
+        F.count_if(is_forward(F.col("kind"))).alias("o"),
+        F.count_if(~is_forward(F.col("kind"))).alias("i"),
+        F.count_if((F.col("kind") == "FF") & (F.col("src") == F.col("dst"))).alias("loops"),
+    )
+    tandem = materialize(d.where("o = 2 and i = 2 and loops = 1").select("node"), "tandem")
+    twice = F.concat("seq", F.substring("seq", g.k, 1 << 30))
+    columns = ["node", "seq", "coverage", "unflipped", "flipped"]
+    grown = g.nodes.join(tandem, "node", "left_semi").withColumn("seq", twice).select(columns)
+    nodes = g.nodes.join(tandem, "node", "left_anti").select(columns).union(grown)
+    loops = tandem.select(F.col("node").alias("src"), F.col("node").alias("dst"))
+    return Graph(nodes, g.edges.join(loops, ["src", "dst"], "left_anti").select("src", "kind", "dst"), g.k)
+
+
 def add_tip(g: Graph, at: str, tip: str, coverage: float = 1.0, kind: str = "FF") -> Graph:
     """The graph with a dead end ``tip`` on node ``at``; for tests of cleaning."""
     spark = g.nodes.sparkSession

@@ -15,6 +15,7 @@ STEPS: dict[str, Callable[[Graph], Graph]] = {
     "TIP": clean.tips,
     "BUBBLE": clean.remove_bubbles,
     "BRIDGE": clean.remove_bridges,
+    "UNROLL_TANDEM": clean.unroll_tandem,
     "REMOVE_BAD_COVERAGE": clean.remove_bad_coverage,
 }
 DEFAULT = ("BUILD", "MERGE", "TIP", "MERGE", "BUBBLE", "MERGE", "BRIDGE", "MERGE")

@@ -52,6 +52,10 @@ class Program:
     stop: Callable[[Step], bool] = lambda step: False
 
 
+#: Join strategies of a superstep by name; all give the same answer, and None leaves the choice to the optimizer.
+PLANS = {"OUTER_JOIN": None, "INNER_JOIN": "shuffle_hash", "OUTER_JOIN_SORT": "merge", "OUTER_JOIN_SINGLE_SORT": "merge"}
+
+
 def run(
     vertices: DataFrame,
     edges: DataFrame,
@@ -62,6 +66,7 @@ def run(
     on_superstep: Callable[[int, DataFrame], None] | None = None,
     create_missing: bool = False,
     until_quiet: bool = True,
+    plan: str = "OUTER_JOIN",
 ) -> DataFrame:
     """``id, value`` when all vertices have halted and no message is left, or after ``max_supersteps``.
 
@@ -95,6 +100,8 @@ def run(
         sent = state.where("sends").select(F.col("id").alias("src"), "value").join(edges, "src")
         inbox = sent.select("dst", program.message(F.col("value"), F.col("weight"), F.col("degree")).alias("m")).where("m is not null")
         inbox = inbox.groupBy(F.col("dst").alias("id")).agg(program.combine(F.col("m")).alias("message"))
+        if PLANS[plan]:
+            inbox = inbox.hint(PLANS[plan])
         joined = state.select("id", "value", "halted").join(inbox, "id", "full" if create_missing else "left")
         active = F.col("message").isNotNull() | ~F.coalesce("halted", F.lit(False))
         new = F.when(active, program.compute(F.col("value"), F.col("message"), step)).otherwise(F.col("value"))

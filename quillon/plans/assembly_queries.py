@@ -78,6 +78,11 @@ def as_bridges(spark, d):
     return clean.remove_bridges(clean.merge_paths(graph(spark, d)), longest=2 * K).nodes.select("node")
 
 
+def as_unroll_tandem(spark, d):
+    g = clean.unroll_tandem(clean.merge_paths(graph(spark, d)))
+    return g.nodes.select("node", F.length("seq").alias("letters"))
+
+
 def as_assemble(spark, d):
     return files.fasta(pipeline.assemble(reads(spark, d), K, pipeline.DEFAULT, BUBBLE={"dissimilarity": 0.6}).nodes, F.col("node"), F.col("seq"))
 
@@ -119,7 +124,7 @@ ROUND((SELECT SUM(n * n) FROM c WHERE n > 10) / 30000.0e0, 4) AS e_size, (SELECT
 
 
 def queries():
-    names = ["as_build", "as_edges", "as_read_heads", "as_degrees", "as_check_symmetry", "as_stats", "as_remove_bad_coverage", "as_remove_tips", "as_merge", "as_bubbles", "as_bridges", "as_assemble", "as_plot", "as_contig_stats", "as_coverage_cutoff"]
+    names = ["as_build", "as_edges", "as_read_heads", "as_degrees", "as_check_symmetry", "as_stats", "as_remove_bad_coverage", "as_remove_tips", "as_merge", "as_bubbles", "as_bridges", "as_unroll_tandem", "as_assemble", "as_plot", "as_contig_stats", "as_coverage_cutoff"]
     return {n: globals()[n] for n in names}
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quillon.graph import algorithms as A
 from quillon.graph import bsp
+from quillon.graph.store import KeyedTable
 from quillon.session import materialize, table
 from quillon.sources import files
 
@@ -106,6 +107,16 @@ def g_vertex_program(spark, d):
     return bsp.run_python(v, e, compute, combine=F.max, value_type="bigint", message_type="bigint").select("id", F.col("value").alias("largest"))
 
 
+def g_keyed_table(spark, d):
+    """Load, delete, insert, update, then a range search."""
+    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("value"))
+    store = KeyedTable(s.where("id % 3 = 0"))
+    store.delete(s.where("id % 2 = 0"))
+    store.insert(s.where("id % 5 = 0"))
+    store.update(F.col("id") % 10 == 0, value=F.lit(-1))
+    return store.range(4, 60)
+
+
 def _reach(extra: str = "") -> str:
     """Pairs of a vertex and what it reaches, itself included."""
     return f"WITH RECURSIVE {_HEAD}{extra}, reach AS (SELECT id AS a, id AS b FROM v UNION SELECT reach.a, g.dst FROM reach JOIN {'both_ways' if extra else 'e'} g ON g.src = reach.b)"
@@ -122,6 +133,7 @@ _ORACLES = {
     "g_triangles": f"WITH {_HEAD}, u AS (SELECT DISTINCT LEAST(src, dst) AS a, GREATEST(src, dst) AS b FROM e), t AS (SELECT x.a FROM u x JOIN u y ON x.a = y.a AND x.b < y.b JOIN u z ON z.a = x.b AND z.b = y.b) SELECT v.id, COUNT(t.a) AS n FROM v LEFT JOIN t ON t.a = v.id GROUP BY v.id",
     "g_message_counts": f"WITH {_HEAD} SELECT v.id, CAST(100 * COUNT(e.dst) AS BIGINT) AS n FROM v LEFT JOIN e ON e.dst = v.id GROUP BY v.id",
     "g_mutation": "WITH kept AS (SELECT p_partkey AS id FROM part WHERE NOT (p_partkey < 100 AND (p_partkey % 2 = 0 OR p_partkey % 3 = 0))) SELECT id, CAST(0 AS DOUBLE) AS value FROM (SELECT id FROM kept UNION SELECT id * 100 FROM kept WHERE id < 100) t WHERE id <> 1900",
+    "g_keyed_table": "SELECT s_suppkey AS id, CASE WHEN s_suppkey % 10 = 0 THEN -1 ELSE s_nationkey END AS value FROM supplier WHERE (s_suppkey % 5 = 0 OR s_suppkey % 3 = 0 AND s_suppkey % 2 <> 0) AND s_suppkey BETWEEN 4 AND 60",
     "g_max_id": "SELECT MAX(o_orderkey) AS max_id FROM orders",
     "g_scale_up": f"WITH {_HEAD} SELECT src + i * (SELECT MAX(id) + 1 FROM v) AS src, dst + i * (SELECT MAX(id) + 1 FROM v) AS dst FROM e CROSS JOIN range(3) t(i)",
     "g_vertex_program": f"{_reach()} SELECT b AS id, MAX(a) AS largest FROM reach GROUP BY b",
@@ -129,7 +141,7 @@ _ORACLES = {
 
 
 def queries():
-    names = ["g_page_rank", "g_shortest_paths", "g_components", "g_flow_components", "g_reachability", "g_triangles", "g_message_counts", "g_largest_cliques", "g_mutation", "g_max_id", "g_scale_up", "g_vertex_program"]
+    names = ["g_page_rank", "g_shortest_paths", "g_components", "g_flow_components", "g_reachability", "g_triangles", "g_message_counts", "g_largest_cliques", "g_mutation", "g_max_id", "g_scale_up", "g_vertex_program", "g_keyed_table"]
     return {n: globals()[n] for n in names}
 
 

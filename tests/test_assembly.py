@@ -136,6 +136,16 @@ def test_tips_bubbles_bridges(spark):
     assert _sequences(clean.merge_paths(clean.remove_bridges(bridged, 2 * k))) == both
 
 
+def test_tandem_repeats_are_read_twice(spark):
+    k, unit, start, end = 7, "ACGGATTCAGTG", "GGTTTAAGC", "GCCCTAAAT"
+    g = clean.merge_paths(_graph(spark, [(1, start + unit * 4 + unit[: k - 1] + end, None)], k))
+    assert g.edges.where("src = dst").count() == 2
+    out = clean.unroll_tandem(g)
+    assert out.edges.where("src = dst").count() == 0 and kmers.asymmetric(out).count() == 0
+    whole = start + unit * 2 + unit[: k - 1] + end
+    assert _sequences(clean.merge_paths(out)) == [min(whole, _rc(whole))]
+
+
 def test_coverage_filter_and_added_structures(spark):
     g = _graph(spark, [(1, "CAGCCA", "CGTCGA")], 3)
     kept = clean.remove_bad_coverage(g, 2.0)

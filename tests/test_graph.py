@@ -152,6 +152,27 @@ def test_supersteps_are_reported_and_bounded(graph):
     assert seen == [1, 2, 3, 4] and max(_values(out).values()) == 3.0
 
 
+def test_all_plans_agree(graph):
+    program = bsp.Program(start=lambda value, s: F.col("id").cast("double"), compute=lambda value, m, s: F.least(value, m), message=lambda v, w, d: v, combine=F.min)
+    got = [_values(bsp.run(*graph(HOLES), program, 3, plan=p)) for p in bsp.PLANS]
+    assert all(x == got[0] for x in got)
+
+
+def test_keyed_table(spark):
+    from quillon.graph.store import KeyedTable
+
+    t = KeyedTable(spark.createDataFrame([(3, "c"), (1, "a"), (2, "b")], "id long, s string"))
+    assert [tuple(r) for r in t.range().collect()] == [(1, "a"), (2, "b"), (3, "c")] and t.search(2).first().s == "b"
+    t.insert(spark.createDataFrame([(2, "x"), (4, "d"), (4, "d")], "id long, s string"))
+    t.update(F.col("id") == 1, s=F.lit("z"))
+    t.delete(spark.createDataFrame([(3,)], "id long"))
+    assert [tuple(r) for r in t.range(1, 4).collect()] == [(1, "z"), (2, "b"), (4, "d")]
+    t.reload(spark.createDataFrame([(9, "n")], "id long, s string"))
+    assert t.range(low=5).count() == 1
+    t.drop()
+    assert t.rows.count() == 0
+
+
 def test_missing_vertices_can_be_created(graph):
     v, e = graph(HOLES)
     program = bsp.Program(start=lambda value, s: F.lit(1.0), compute=lambda value, m, s: F.coalesce(value, F.lit(0.0)) + m, message=lambda v, w, d: F.lit(1.0), combine=F.sum)
