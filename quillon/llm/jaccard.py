@@ -181,7 +181,7 @@ def _meeting(percent: int, n, pos, prev, side) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([np.empty(0, np.int64), *found_i]), np.concatenate([np.empty(0, np.int64), *found_j])
 
 
-def _verify(words: int, percent: int):
+def _verify(percent: int):
     def run(sets: pa.Table, met: pa.Table) -> pa.Table:
         """Links between the classes of groups that meet in a block: a row for each class that has any."""
         place: dict[int, int] = {}
@@ -384,7 +384,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     held = docs.join(wanted, (F.col("th") == F.col("w_th")) & F.col("id").eqNullSafe(F.col("w_id"))).select("t", "blocks", "gid", "sig", "copies")
     sets = held.mapInArrow(frugal(whole), "blocks array<long>, gid long, sig binary, copies long, s binary")
     brought = sets.select(F.explode("blocks").alias("block"), "gid", "sig", "copies", "s")
-    check = brought.groupBy("block").cogroup(blocks.groupBy("block")).applyInArrow(_verify(words, percent), "sig binary, root binary, links long")
+    check = brought.groupBy("block").cogroup(blocks.groupBy("block")).applyInArrow(_verify(percent), "sig binary, root binary, links long")
     linked = materialize(check, "jaccard-links")
 
     comp = connected_components(linked.select(F.col("sig").alias("a"), F.col("root").alias("b")))
