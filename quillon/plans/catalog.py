@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from quillon.plans import tpch
-from quillon.session import register
+from quillon.session import TABLES, register
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _sql(text: str) -> Query:
+    names = [t for t in TABLES if re.search(rf"\b{t}\b", text)]
+
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        register(spark, sf_dir)
+        register(spark, sf_dir, names)
         return spark.sql(tpch.for_spark(text))
 
     return run
