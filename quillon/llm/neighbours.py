@@ -2,27 +2,12 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-LOWEST = -(1 << 63) + 1
-
+from quillon.llm.common import range_index
 
-def _long_array(values) -> str:
-    return "array(" + ", ".join(f"{v}L" for v in values) + ")"
-
-
-def long_range_index(key: Column, values: list[int]) -> Column:
-    """How many of the sorted ``values`` are <= ``key``, by a two-level search."""
-    if not values:
-        return F.lit(0)
-    width = max(1, math.isqrt(len(values)))
-    blocks = [values[i : i + width] for i in range(0, len(values), width)]
-    block = F.size(F.filter(F.expr(_long_array(b[0] for b in blocks)), lambda s: s <= key))
-    inner = F.element_at(F.expr("array(" + ", ".join(_long_array(b) for b in blocks) + ")"), block)
-    return F.when(block == 0, 0).otherwise((block - 1) * width + F.size(F.filter(inner, lambda s: s <= key)))
+LOWEST = -(1 << 63) + 1
 
 
 def with_guests(df: DataFrame, key: Column, rows_per_bucket: int = 256, most_buckets: int = 16384, per_bucket: int = 12, seed: int = 5) -> DataFrame:
@@ -41,7 +26,7 @@ def with_guests(df: DataFrame, key: Column, rows_per_bucket: int = 256, most_buc
     draw = F.xxhash64("nb_key", F.lit(seed)).bitwiseAND(F.lit((1 << 53) - 1)) / F.lit(float(1 << 53))
     keys = sorted(r.nb_key for r in keyed.select("nb_key").where(draw < chance).collect()) if buckets > 1 else []
     step = max(1, len(keys) // buckets)
-    keyed = keyed.withColumn("nb_bucket", long_range_index(F.col("nb_key"), sorted(set(keys[step::step]))).cast("int"))
+    keyed = keyed.withColumn("nb_bucket", range_index(F.col("nb_key"), [f"bigint('{k}')" for k in sorted(set(keys[step::step]))]).cast("int"))
     heads = sorted((r.nb_bucket, r.top) for r in keyed.groupBy("nb_bucket").agg(F.max("nb_key").alias("top")).collect())
     above = [(b, top, heads[(i + 1) % len(heads)][0]) for i, (b, top) in enumerate(heads)]
     table = spark.createDataFrame(above, "hd_bucket int, hd_top long, hd_to int")

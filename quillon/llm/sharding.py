@@ -23,8 +23,8 @@ def _key():
     return F.struct(F.col("h"), F.col("id"))
 
 
-def _splitter(h: int, i: int | None):
-    return F.struct(F.lit(h).cast("long").alias("h"), F.lit(i).cast("long").alias("id"))
+def _splitter(h: int, i: int | None) -> str:
+    return f"named_struct('h', bigint('{h}'), 'id', bigint({'null' if i is None else repr(str(i))}))"
 
 
 def assign_shards(
@@ -99,8 +99,9 @@ def assign_shards(
         start_bytes[r.rng], start_rows[r.rng] = b, n
         b, n = b + r.bytes, n + r.n
     width = max(start_bytes) + 1
-    at_bytes = F.array(*[F.lit(start_bytes.get(i, 0)).cast("long") for i in range(width)])
-    at_rows = F.array(*[F.lit(start_rows.get(i, 0)).cast("long") for i in range(width)])
+    longs = lambda values: F.expr(f"array({', '.join(f'{v}L' for v in values)})")
+    at_bytes = longs(start_bytes.get(i, 0) for i in range(width))
+    at_rows = longs(start_rows.get(i, 0) for i in range(width))
 
     by_range = Window.partitionBy("rng").orderBy("h", "id", "size")
     by_group = Window.partitionBy("rng", "h")
@@ -122,5 +123,5 @@ def assign_shards(
     )
     line = materialize(line, "shard-line")
     first = {r.shard: r.nth for r in line.groupBy("shard").agg(F.min("nth").alias("nth")).collect()}
-    starts = F.array(*[F.lit(first.get(i, 0)).cast("long") for i in range(shards)])
+    starts = longs(first.get(i, 0) for i in range(shards))
     return line.select("id", "size", "text_crc32", "shard", (F.col("nth") - F.get(starts, F.col("shard"))).alias("slot"))
