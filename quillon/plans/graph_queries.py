@@ -1,7 +1,7 @@
 """Graph algorithms over graphs that the tables hold.
 
-The trade graph has the nations, and an edge for each distinct pair of a customer's nation and a
-supplier's nation of a line item whose order is in the first days of the data; that keeps it sparse.
+The graph of returns has the nations, and an edge from a customer's nation to a supplier's for each
+line item of the largest quantity at the highest discount that was sent back.
 """
 
 from __future__ import annotations
@@ -15,17 +15,17 @@ from quillon.graph.store import KeyedTable
 from quillon.session import materialize, table
 from quillon.sources import files
 
-# Edges a -> b of a sparse, directed graph over customers' nations and suppliers' nations.
 _EDGES = """
   SELECT DISTINCT CAST(c_nationkey AS BIGINT) AS src, CAST(s_nationkey AS BIGINT) AS dst
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey
-  WHERE o_orderkey < 25 AND c_nationkey <> s_nationkey"""
+  WHERE l_quantity = 50 AND l_discount > 0.095 AND l_returnflag = 'R' AND c_nationkey <> s_nationkey"""
 _VERTICES = "SELECT CAST(n_nationkey AS BIGINT) AS id FROM nation"
 _HEAD = f"e AS ({_EDGES}), v AS ({_VERTICES})"
 
 
 def trade(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    items = table(spark, d, "lineitem").join(table(spark, d, "orders").where("o_orderkey < 25"), F.col("l_orderkey") == F.col("o_orderkey"))
+    back = table(spark, d, "lineitem").where("l_quantity = 50 AND l_discount > 0.095 AND l_returnflag = 'R'")
+    items = back.join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     both = items.join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
     edges = both.where("c_nationkey <> s_nationkey").select(F.col("c_nationkey").cast("long").alias("src"), F.col("s_nationkey").cast("long").alias("dst")).distinct()
     return table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("id")), materialize(edges, "trade")
@@ -109,12 +109,12 @@ def g_vertex_program(spark, d):
 
 def g_keyed_table(spark, d):
     """Load, delete, insert, update, then a range search."""
-    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("value"))
-    store = KeyedTable(s.where("id % 3 = 0"))
-    store.delete(s.where("id % 2 = 0"))
-    store.insert(s.where("id % 5 = 0"))
-    store.update(F.col("id") % 10 == 0, value=F.lit(-1))
-    return store.range(4, 60)
+    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("value"), "s_acctbal")
+    store = KeyedTable(s.where("s_acctbal < 6000").select("id", "value"))
+    store.delete(s.where("value < 10"))
+    store.insert(s.where("s_acctbal > 4000 and value < 20"))
+    store.update(F.col("value") == 3, value=F.lit(-1))
+    return store.range(low=5)
 
 
 def _reach(extra: str = "") -> str:
@@ -133,7 +133,7 @@ _ORACLES = {
     "g_triangles": f"WITH {_HEAD}, u AS (SELECT DISTINCT LEAST(src, dst) AS a, GREATEST(src, dst) AS b FROM e), t AS (SELECT x.a FROM u x JOIN u y ON x.a = y.a AND x.b < y.b JOIN u z ON z.a = x.b AND z.b = y.b) SELECT v.id, COUNT(t.a) AS n FROM v LEFT JOIN t ON t.a = v.id GROUP BY v.id",
     "g_message_counts": f"WITH {_HEAD} SELECT v.id, CAST(100 * COUNT(e.dst) AS BIGINT) AS n FROM v LEFT JOIN e ON e.dst = v.id GROUP BY v.id",
     "g_mutation": "WITH kept AS (SELECT p_partkey AS id FROM part WHERE NOT (p_partkey < 100 AND (p_partkey % 2 = 0 OR p_partkey % 3 = 0))) SELECT id, CAST(0 AS DOUBLE) AS value FROM (SELECT id FROM kept UNION SELECT id * 100 FROM kept WHERE id < 100) t WHERE id <> 1900",
-    "g_keyed_table": "SELECT s_suppkey AS id, CASE WHEN s_suppkey % 10 = 0 THEN -1 ELSE s_nationkey END AS value FROM supplier WHERE (s_suppkey % 5 = 0 OR s_suppkey % 3 = 0 AND s_suppkey % 2 <> 0) AND s_suppkey BETWEEN 4 AND 60",
+    "g_keyed_table": "SELECT s_suppkey AS id, CASE WHEN s_nationkey = 3 THEN -1 ELSE s_nationkey END AS value FROM supplier WHERE (s_acctbal < 6000 AND s_nationkey >= 10 OR s_acctbal > 4000 AND s_nationkey < 20) AND s_suppkey >= 5",
     "g_max_id": "SELECT MAX(o_orderkey) AS max_id FROM orders",
     "g_scale_up": f"WITH {_HEAD} SELECT src + i * (SELECT MAX(id) + 1 FROM v) AS src, dst + i * (SELECT MAX(id) + 1 FROM v) AS dst FROM e CROSS JOIN range(3) t(i)",
     "g_vertex_program": f"{_reach()} SELECT b AS id, MAX(a) AS largest FROM reach GROUP BY b",

@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from quillon.functions import scalar
 from quillon.operators import relational as R
-from quillon.plans import piglet, statements
+from quillon.plans import pig, statements
 from quillon.session import materialize, table, work_path
 from quillon.sources import files
 
@@ -85,10 +85,10 @@ def s10_single_file(spark, d):
     return spark.read.text(path)
 
 
-@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey BETWEEN 10 AND 20")
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_totalprice BETWEEN 100000 AND 120000")
 def s11_constant_bounds(spark, d):
-    bounds = R.constant(spark, [(10, 20)], "lo long, hi long")
-    return R.scalar_join(table(spark, d, "orders"), bounds).where("o_orderkey BETWEEN lo AND hi").select("o_orderkey", "o_custkey")
+    bounds = R.constant(spark, [(100000.0, 120000.0)], "lo double, hi double")
+    return R.scalar_join(table(spark, d, "orders"), bounds).where("o_totalprice BETWEEN lo AND hi").select("o_orderkey", "o_custkey")
 
 
 @query("SELECT CAST(i AS BIGINT) AS src, CAST((i + 1) % 1000 AS BIGINT) AS dst, CAST(i * 100 AS DOUBLE) AS weight FROM range(1000) t(i)")
@@ -117,12 +117,12 @@ def s17_plot_subgraph(spark, d):
     return lines.select(F.regexp_replace("value", '"r', '"').alias("value"))
 
 
-@query("SELECT n_nationkey AS id, n_name AS name FROM nation WHERE n_nationkey % 7 = 3 OR n_nationkey >= 20 AND n_name <> 'NATION_22'")
-def s18_piglet(spark, d):
+@query("SELECT c_custkey AS id, c_acctbal AS balance, c_mktsegment AS segment FROM customer WHERE c_acctbal * 2 - 1000 > 5000 AND c_mktsegment <> 'BUILDING' OR c_nationkey % 7 = 3")
+def s18_pig_dialect(spark, d):
     src, dst = work_path(spark, "pig-in"), work_path(spark, "pig-out")
-    files.write_delimited(table(spark, d, "nation").select("n_nationkey", "n_name"), src, ",")
-    piglet.run(spark, f'R = load "nc:{src}" as (id : int, name : chararray); S = filter R by id % 7 == 3 or id >= 20 and name != "NATION_22"; dump S into "nc:{dst}";')
-    return files.read_delimited(spark, dst, "id int, name string", ",")
+    files.write_delimited(table(spark, d, "customer").select("c_custkey", "c_acctbal", "c_mktsegment", "c_nationkey"), src, ",")
+    pig.run(spark, f'R = load "nc:{src}" as (id : long, balance : double, segment : chararray, nation : int); S = filter R by balance * 2 - 1000 > 5000 and segment != "BUILDING" or nation % 7 == 3; dump S into "nc:{dst}";')
+    return files.read_delimited(spark, dst, "id long, balance double, segment string, nation int", ",").drop("nation")
 
 
 @query("SELECT CAST(COUNT(*) AS BIGINT) AS n FROM region")
@@ -228,9 +228,9 @@ def j11_n_way(spark, d):
     return out.groupBy("r_name").agg(F.count("*").alias("n"))
 
 
-@query("SELECT a.k AS k, COUNT(*) AS n FROM (SELECT l_linenumber AS k FROM lineitem WHERE l_orderkey < 300) a JOIN (SELECT l_linenumber AS k FROM lineitem WHERE l_orderkey < 300) b ON a.k = b.k GROUP BY a.k")
+@query("SELECT a.c_nationkey AS k, COUNT(*) AS n FROM customer a JOIN customer b ON a.c_nationkey = b.c_nationkey GROUP BY a.c_nationkey")
 def j12_duplicated_keys(spark, d):
-    one = table(spark, d, "lineitem").where("l_orderkey < 300").select(F.col("l_linenumber").alias("k"))
+    one = table(spark, d, "customer").select(F.col("c_nationkey").alias("k"))
     return R.equi_join(one, one, ["k"]).groupBy("k").agg(F.count("*").alias("n"))
 
 
@@ -240,10 +240,10 @@ def j13_hash_outer(spark, d):
     return table(spark, d, "orders").join(c, F.col("o_custkey") == F.col("c_custkey"), "left").select("o_orderkey", "c_name")
 
 
-@query("SELECT id FROM (SELECT DISTINCT o_custkey AS id FROM orders UNION SELECT c_custkey FROM customer WHERE c_custkey % 3 = 0) t")
+@query("SELECT id FROM (SELECT DISTINCT o_custkey AS id FROM orders UNION SELECT c_custkey FROM customer WHERE c_acctbal < 0) t")
 def j15_id_union(spark, d):
     a = table(spark, d, "orders").select(F.col("o_custkey").alias("id"))
-    return R.id_union(a, table(spark, d, "customer").where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("id")), "id")
+    return R.id_union(a, table(spark, d, "customer").where("c_acctbal < 0").select(F.col("c_custkey").alias("id")), "id")
 
 
 # -- aggregation -----------------------------------------------------------------------------------
@@ -309,11 +309,10 @@ def x7_unify(spark, d):
     return R.unify(table(spark, d, "supplier").select("s_suppkey"))
 
 
-@query("SELECT c_custkey AS id, c_name AS name FROM customer WHERE c_custkey < 50 UNION ALL SELECT s_suppkey, s_name FROM supplier WHERE s_suppkey < 50 UNION ALL SELECT s_suppkey, s_name FROM supplier WHERE s_suppkey < 5")
+@query("SELECT c_custkey AS id, c_name AS name FROM customer UNION ALL SELECT s_suppkey, s_name FROM supplier UNION ALL SELECT s_suppkey, s_name FROM supplier")
 def u3_union_all(spark, d):
     s = table(spark, d, "supplier").select("s_suppkey", "s_name")
-    c = table(spark, d, "customer").where("c_custkey < 50").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
-    return R.union_all(c, s.where("s_suppkey < 50"), s.where("s_suppkey < 5"))
+    return R.union_all(table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name")), s, s)
 
 
 # -- functions -------------------------------------------------------------------------------------
@@ -329,11 +328,11 @@ def f2_arithmetic(spark, d):
     return table(spark, d, "part").select("p_partkey", F.round(F.col("p_retailprice") * 2 - 1 + 3, 4).alias("a"), F.round(scalar.divide(F.col("p_retailprice"), s - 10), 6).alias("q"), F.abs(s - 25).alias("dist"), (s % 7).alias("m"))
 
 
-@query("SELECT p_partkey, SUBSTR(p_name, 2, 3) AS sub, p_name LIKE '%ring%' AS lk, REGEXP_MATCHES(p_type, 'SMALL|PROMO') AS rx, REGEXP_MATCHES(p_type, 'SM CASE||SM BOX') AS rx_empty, CASE WHEN p_size > 25 THEN 'big' WHEN p_size > 10 THEN 'mid' ELSE 'small' END AS bucket, CAST(p_retailprice AS INT) AS whole FROM (SELECT *, FLOOR(p_retailprice) AS fl FROM part) t WHERE p_retailprice = fl")
+@query("SELECT p_partkey, SUBSTR(p_name, 2, 3) AS sub, p_name LIKE '%ring%' AS lk, REGEXP_MATCHES(p_type, 'SMALL|PROMO') AS rx, REGEXP_MATCHES(p_type, 'SM CASE||SM BOX') AS rx_empty, CASE WHEN p_size > 25 THEN 'big' WHEN p_size > 10 THEN 'mid' ELSE 'small' END AS bucket, CAST(FLOOR(p_retailprice) AS INT) AS whole FROM part")
 def f3_strings_case_cast(spark, d):
-    p = table(spark, d, "part").where(F.col("p_retailprice") == F.floor("p_retailprice"))
+    p = table(spark, d, "part")
     size = F.when(F.col("p_size") > 25, "big").when(F.col("p_size") > 10, "mid").otherwise("small")
-    return p.select("p_partkey", F.substring("p_name", 2, 3).alias("sub"), F.col("p_name").like("%ring%").alias("lk"), scalar.matches(F.col("p_type"), "SMALL|PROMO").alias("rx"), scalar.matches(F.col("p_type"), "SM CASE||SM BOX").alias("rx_empty"), size.alias("bucket"), F.col("p_retailprice").cast("int").alias("whole"))
+    return p.select("p_partkey", F.substring("p_name", 2, 3).alias("sub"), F.col("p_name").like("%ring%").alias("lk"), scalar.matches(F.col("p_type"), "SMALL|PROMO").alias("rx"), scalar.matches(F.col("p_type"), "SM CASE||SM BOX").alias("rx_empty"), size.alias("bucket"), F.floor("p_retailprice").cast("int").alias("whole"))
 
 
 @query("SELECT CAST(YEAR(o_orderdate) AS INT) AS y, COUNT(*) AS n FROM orders GROUP BY 1 UNION ALL SELECT NULL, COUNT(*) FROM region")
@@ -350,10 +349,10 @@ def f5_lenient_sum(spark, d):
     return p.groupBy("p_brand").agg(scalar.lenient_sum(F.col("p_size"), T.IntegerType()).alias("ints"), F.round(scalar.lenient_sum(F.col("text"), T.StringType()), 4).alias("strings"))
 
 
-@query("SELECT a.p_name AS a, b.p_name AS b, CAST(LEVENSHTEIN(a.p_name, b.p_name) AS INT) AS dist FROM part a JOIN part b ON a.p_partkey + 1 = b.p_partkey WHERE a.p_partkey < 100")
+@query("SELECT a.p_name AS a, b.p_name AS b, CAST(LEVENSHTEIN(a.p_name, b.p_name) AS INT) AS dist FROM part a JOIN part b ON a.p_partkey + 1 = b.p_partkey")
 def f6_edit_distance(spark, d):
     p = table(spark, d, "part")
-    a, b = p.where("p_partkey < 100").select(F.col("p_partkey").alias("k"), F.col("p_name").alias("a")), p.select((F.col("p_partkey") - 1).alias("k"), F.col("p_name").alias("b"))
+    a, b = p.select(F.col("p_partkey").alias("k"), F.col("p_name").alias("a")), p.select((F.col("p_partkey") - 1).alias("k"), F.col("p_name").alias("b"))
     return a.join(b, "k").select("a", "b", scalar.edit_distance(F.col("a"), F.col("b")).alias("dist"))
 
 
@@ -375,9 +374,9 @@ INSERT OVERWRITE TABLE rich SELECT n_name, COUNT(*) WHERE s_acctbal >= ${{hiveco
     return R.union_all(cheap.select(F.lit("cheap").alias("kind"), "n_name", "n"), rich.select(F.lit("rich").alias("kind"), "n_name", "n"))
 
 
-@query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey >= 100 AND l_orderkey <= 200 AND l_quantity >= 10 AND l_quantity <= 20")
+@query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_extendedprice BETWEEN 20000 AND 30000 AND l_quantity BETWEEN 10 AND 20")
 def m1_spatial_range(spark, d):
-    return R.select(table(spark, d, "lineitem"), F.col("l_orderkey").between(100, 200) & F.col("l_quantity").between(10, 20)).select("l_orderkey", "l_linenumber")
+    return R.select(table(spark, d, "lineitem"), F.col("l_extendedprice").between(20000, 30000) & F.col("l_quantity").between(10, 20)).select("l_orderkey", "l_linenumber")
 
 
 def queries():

@@ -2,7 +2,7 @@ import pytest
 from pyspark.errors import PySparkException
 
 from quillon.operators import relational as R
-from quillon.plans import piglet, statements
+from quillon.plans import pig, statements
 from quillon.sources import files
 
 
@@ -62,19 +62,19 @@ def test_graphviz(spark):
     assert lines == ["digraph G {", '  "1" -> "2" [label="x"];', '  "2" -> "3" [label="y"];', "}"]
 
 
-def test_piglet(spark, tmp_path):
+def test_pig(spark, tmp_path):
     src = _write(tmp_path, "p.csv", "5,five\n6,six\n10,ten\n")
     out = f"file://{tmp_path}/out"
-    got = piglet.run(spark, f'R = load "nc1:{src}" as (id : int, name : chararray); S = filter R by (id - 1) * 2 >= 8 and name != "ten" or id == 10 and id % 3 == 2; dump S into "nc1:{out}";')
+    got = pig.run(spark, f'R = load "nc1:{src}" as (id : int, name : chararray); S = filter R by (id - 1) * 2 >= 8 and name != "ten" or id == 10 and id % 3 == 2; dump S into "nc1:{out}";')
     assert sorted(r.id for r in got["S"].collect()) == [5, 6]
     assert spark.read.text(out).count() == 2
     for bad in ('R = laod "x" as (id : int);', 'R = load "x" as (id : number);', 'dump R', "R = load 'x' as (a : int);"):
         with pytest.raises((SyntaxError, KeyError)):
-            piglet.run(spark, bad)
+            pig.run(spark, bad)
 
 
-def test_piglet_types(spark):
-    p = piglet._Parser("(a : long, b : bag {tuple (x : int, y : double)}, m : map [])")
+def test_pig_types(spark):
+    p = pig._Parser("(a : long, b : bag {tuple (x : int, y : double)}, m : map [])")
     assert p.fields(" ") == "a bigint,b array<struct<x:int,y:double>>,m map<string,string>"
 
 
