@@ -117,6 +117,14 @@ UNION ALL SELECT 'self_edge_' || kind, 1 FROM edges WHERE src = dst AND kind IN
 SELECT measure, CAST(value AS BIGINT) AS value, COUNT(*) AS n FROM m GROUP BY measure, value""",
     "as_remove_bad_coverage": f"WITH {_HEAD}, good AS (SELECT node FROM nodes WHERE coverage >= 40) SELECT src, kind, dst FROM edges WHERE src IN (SELECT node FROM good) AND dst IN (SELECT node FROM good)",
     "as_remove_tips": f"WITH {_HEAD} SELECT node, coverage FROM nodes WHERE node NOT IN (SELECT node FROM deg WHERE (o = 0) <> (i = 0))",
+    # Walks along the only way on, from every node that no such way leads to, in both directions.
+    "as_merge": f"""WITH RECURSIVE {_HEAD},
+st AS (SELECT DISTINCT src AS a, src || SUBSTR(kind, 1, 1) AS u, dst AS b, dst || SUBSTR(kind, 2, 1) AS v FROM edges),
+link AS (SELECT u, MIN(v) AS v FROM st GROUP BY u HAVING COUNT(*) = 1 AND MIN(a) <> MIN(b) AND MIN(v) IN (SELECT v FROM st GROUP BY v HAVING COUNT(*) = 1)),
+ori AS (SELECT node || 'F' AS v, node AS seq, coverage FROM nodes UNION ALL SELECT node || 'R', REVERSE(TRANSLATE(node, 'ACGT', 'TGCA')), coverage FROM nodes),
+walk AS (SELECT v AS cur, seq, coverage AS c, 1 AS n FROM ori WHERE v NOT IN (SELECT v FROM link)
+  UNION ALL SELECT link.v, walk.seq || SUBSTR(ori.seq, {K}), c + coverage, n + 1 FROM walk JOIN link ON link.u = walk.cur JOIN ori ON ori.v = link.v)
+SELECT DISTINCT LEAST(seq, REVERSE(TRANSLATE(seq, 'ACGT', 'TGCA'))) AS node, ROUND(c / n, 6) AS coverage FROM walk WHERE cur NOT IN (SELECT u FROM link)""",
     "as_contig_stats": f"""WITH c AS (SELECT CAST(LENGTH(s) AS INTEGER) AS n FROM ({_READS}) t), o AS (SELECT n, SUM(n) OVER (ORDER BY n DESC ROWS UNBOUNDED PRECEDING) AS run, ROW_NUMBER() OVER (ORDER BY n DESC) AS k FROM c)
 SELECT (SELECT COUNT(*) FROM c WHERE n > 10) AS units, CAST(30000 AS BIGINT) AS reference, (SELECT CAST(SUM(n) AS BIGINT) FROM c WHERE n > 10) AS bases, (SELECT MIN(n) FROM c WHERE n > 10) AS shortest, (SELECT MAX(n) FROM c WHERE n > 10) AS longest,
 ROUND((SELECT SUM(n * n) FROM c WHERE n > 10) / 30000.0e0, 4) AS e_size, (SELECT MAX(n) FROM o WHERE run >= 15000) AS n50, (SELECT MIN(k) FROM o WHERE run >= 15000) AS n50_count""",

@@ -132,6 +132,13 @@ _ORACLES = {
     "g_reachability": f"{_reach()} SELECT v.id, CASE WHEN EXISTS (SELECT 1 FROM reach WHERE a = 3 AND b = v.id) THEN 1 ELSE 0 END AS bits FROM v",
     "g_triangles": f"WITH {_HEAD}, u AS (SELECT DISTINCT LEAST(src, dst) AS a, GREATEST(src, dst) AS b FROM e), t AS (SELECT x.a FROM u x JOIN u y ON x.a = y.a AND x.b < y.b JOIN u z ON z.a = x.b AND z.b = y.b) SELECT v.id, COUNT(t.a) AS n FROM v LEFT JOIN t ON t.a = v.id GROUP BY v.id",
     "g_message_counts": f"WITH {_HEAD} SELECT v.id, CAST(100 * COUNT(e.dst) AS BIGINT) AS n FROM v LEFT JOIN e ON e.dst = v.id GROUP BY v.id",
+    # Cliques grow by larger and larger vertices that touch all members.
+    "g_largest_cliques": f"""WITH RECURSIVE {_HEAD}, u AS (SELECT DISTINCT LEAST(src, dst) AS a, GREATEST(src, dst) AS b FROM e),
+c AS (SELECT a AS id, [a, b] AS m, 2 AS n FROM u UNION ALL
+  SELECT id, list_append(m, b), n + 1 FROM (SELECT c.id, c.m, c.n, u.b, COUNT(*) AS k FROM c JOIN u ON list_contains(c.m, u.a) WHERE u.b > c.m[-1] GROUP BY c.id, c.m, c.n, u.b) g WHERE k = n),
+best AS (SELECT id, MAX(n) AS n FROM c GROUP BY id)
+SELECT v.id, CAST(COALESCE(MAX(c.n), 1) AS BIGINT) AS size, COALESCE(STRING_AGG(array_to_string(m, ',') || ';', '' ORDER BY m), '') AS cliques
+FROM v LEFT JOIN best ON best.id = v.id LEFT JOIN c ON c.id = best.id AND c.n = best.n GROUP BY v.id""",
     "g_mutation": "WITH kept AS (SELECT p_partkey AS id FROM part WHERE NOT (p_partkey < 100 AND (p_partkey % 2 = 0 OR p_partkey % 3 = 0))) SELECT id, CAST(0 AS DOUBLE) AS value FROM (SELECT id FROM kept UNION SELECT id * 100 FROM kept WHERE id < 100) t WHERE id <> 1900",
     "g_keyed_table": "SELECT s_suppkey AS id, CASE WHEN s_nationkey = 3 THEN -1 ELSE s_nationkey END AS value FROM supplier WHERE (s_acctbal < 6000 AND s_nationkey >= 10 OR s_acctbal > 4000 AND s_nationkey < 20) AND s_suppkey >= 5",
     "g_max_id": "SELECT MAX(o_orderkey) AS max_id FROM orders",
