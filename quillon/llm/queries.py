@@ -158,5 +158,38 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+_ORACLES = {
+    "op2_jaccard": f"""WITH RECURSIVE
+d AS (SELECT ROW_NUMBER() OVER () AS r, doc_id, REGEXP_EXTRACT_ALL(TRANSLATE(COALESCE(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT r, LIST_AGGREGATE(w[i:i + 2], 'string_agg', ' ') AS g FROM (SELECT r, w, UNNEST(RANGE(1, GREATEST(LEN(w) - 2, 1) + 1)) AS i FROM d WHERE LEN(w) > 0) t),
+n AS (SELECT r, COUNT(*) AS n FROM s GROUP BY r),
+c AS (SELECT x.r AS a, y.r AS b, COUNT(*) AS k FROM s x JOIN s y ON x.g = y.g AND x.r <> y.r GROUP BY x.r, y.r),
+l AS (SELECT a, b FROM c JOIN n na ON na.r = a JOIN n nb ON nb.r = b WHERE 100 * k >= 90 * (na.n + nb.n - k)),
+reach AS (SELECT r AS a, r AS b FROM d UNION SELECT reach.a, l.b FROM reach JOIN l ON l.a = reach.b),
+m AS (SELECT reach.a, MIN(d.doc_id) AS component_id FROM reach JOIN d ON d.r = reach.b GROUP BY reach.a)
+SELECT d.doc_id, COALESCE(n.n, 0) AS n_shingles, m.component_id, COALESCE(k.k, 0) AS n_links
+FROM d JOIN m ON m.a = d.r LEFT JOIN n ON n.r = d.r LEFT JOIN (SELECT a, COUNT(*) AS k FROM l GROUP BY a) k ON k.a = d.r""",
+    "op5_embeddings": """WITH RECURSIVE
+e AS (SELECT ROW_NUMBER() OVER () AS r, vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+f AS (SELECT * FROM e WHERE label IS NOT NULL AND v IS NOT NULL AND LEN(v) > 0 AND LEN([x FOR x IN v IF x IS NULL OR NOT ISFINITE(x)]) = 0 AND LEN([x FOR x IN v IF x <> 0]) > 0),
+l AS (SELECT x.r AS a, y.r AS b FROM f x JOIN f y ON x.label = y.label AND LEN(x.v) = LEN(y.v) AND x.r <> y.r WHERE LIST_COSINE_SIMILARITY(x.v, y.v) >= 0.98e0),
+reach AS (SELECT r AS a, r AS b FROM e UNION SELECT reach.a, l.b FROM reach JOIN l ON l.a = reach.b),
+m AS (SELECT reach.a, MIN(e.vec_id) AS component_id FROM reach JOIN e ON e.r = reach.b GROUP BY reach.a)
+SELECT e.vec_id, COALESCE(k.k, 0) AS n_links, m.component_id, e.vec_id = m.component_id AS kept
+FROM e JOIN m ON m.a = e.r LEFT JOIN (SELECT a, COUNT(*) AS k FROM l GROUP BY a) k ON k.a = e.r""",
+    "op9_chat": """WITH
+r AS (SELECT conv_id, turn, COALESCE(role, '') AS role, COALESCE(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, i, CASE i WHEN 0 THEN 'user' ELSE 'assistant' END, '<|im_end|><|im_start|>assistant ok' FROM RANGE(2) t(i))
+SELECT conv_id, COUNT(*) AS n_turns, SHA256(STRING_AGG(role || CHR(10) || text || CHR(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  CAST(COALESCE(SUM(LENGTH(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  SHA256(COALESCE(STRING_AGG(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  CAST(SUM(12 + 10 + 11 + LENGTH(REGEXP_REPLACE(role, '<(\\\\*)\\|', '<\\\\\\1|', 'g')) + LENGTH(REGEXP_REPLACE(text, '<(\\\\*)\\|', '<\\\\\\1|', 'g'))) AS BIGINT) AS formatted_chars
+FROM r GROUP BY conv_id""",
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """For the operators that SQL can express on whole tables."""
+    return dict(_ORACLES)
