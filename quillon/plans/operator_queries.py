@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillon.functions import scalar
+from quillon.functions.aggregates import Aggregate, aggregate
+from quillon.graph.store import KeyedTable
 from quillon.operators import relational as R
 from quillon.plans import pig, statements
 from quillon.session import materialize, table, work_path
@@ -240,6 +242,12 @@ def j13_hash_outer(spark, d):
     return table(spark, d, "orders").join(c, F.col("o_custkey") == F.col("c_custkey"), "left").select("o_orderkey", "c_name")
 
 
+@query("SELECT o_orderkey, c_custkey, ROUND(c_acctbal, 2) AS c_acctbal FROM orders RIGHT JOIN (SELECT * FROM customer WHERE c_acctbal > 0) c ON o_custkey = c_custkey")
+def j14_index_right_outer(spark, d):
+    index = KeyedTable(table(spark, d, "customer").where("c_acctbal > 0").select("c_custkey", _rounded("c_acctbal")), "c_custkey")
+    return R.equi_join(table(spark, d, "orders"), index.rows, F.col("o_custkey") == F.col("c_custkey"), "right").select("o_orderkey", "c_custkey", "c_acctbal")
+
+
 @query("SELECT id FROM (SELECT DISTINCT o_custkey AS id FROM orders UNION SELECT c_custkey FROM customer WHERE c_acctbal < 0) t")
 def j15_id_union(spark, d):
     a = table(spark, d, "orders").select(F.col("o_custkey").alias("id"))
@@ -288,6 +296,23 @@ def a6_distinct_aggregates(spark, d):
     return R.group_by(table(spark, d, "lineitem"), ["l_returnflag"], F.round(F.expr("avg(DISTINCT l_quantity)"), 6).alias("avg_q"), F.count_distinct("l_partkey").alias("parts"))
 
 
+@query("SELECT o_custkey AS dst, ROUND(SUM(o_totalprice), 2) AS total, ROUND(MIN(o_totalprice), 2) AS least, BIT_OR(CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'O' THEN 2 ELSE 4 END) AS bits, COUNT(*) AS n FROM orders GROUP BY o_custkey")
+def a8_message_combine(spark, d):
+    bit = F.when(F.col("o_orderstatus") == "F", 1).when(F.col("o_orderstatus") == "O", 2).otherwise(4)
+    return R.group_by(table(spark, d, "orders").withColumn("dst", F.col("o_custkey")), ["dst"], F.round(F.sum("o_totalprice"), 2).alias("total"), F.round(F.min("o_totalprice"), 2).alias("least"), F.bit_or(bit).alias("bits"), F.count("*").alias("n"))
+
+
+@query("SELECT COUNT(*) AS vertices, MAX(c_custkey) AS largest, ROUND(SUM(c_acctbal), 2) AS total FROM customer")
+def a9_global_aggregators(spark, d):
+    return R.group_by(table(spark, d, "customer"), [], F.count("*").alias("vertices"), F.max("c_custkey").alias("largest"), F.round(F.sum("c_acctbal"), 2).alias("total"))
+
+
+@query("SELECT l_returnflag, l_linestatus, ROUND(SQRT(SUM(l_quantity * l_quantity)), 6) AS norm FROM lineitem GROUP BY l_returnflag, l_linestatus")
+def a10_user_defined(spark, d):
+    norm = Aggregate(init=float, iterate=lambda b, x: b if x is None else b + x * x, merge=lambda a, b: a + b, terminate=lambda b: round(b**0.5, 6))
+    return aggregate(table(spark, d, "lineitem"), ["l_returnflag", "l_linestatus"], ["l_quantity"], norm, "norm")
+
+
 # -- order, limit, exchange, union -------------------------------------------------------------------
 @query("SELECT o_orderkey, ROUND(o_totalprice, 2) AS o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 37")
 def o3_top_k(spark, d):
@@ -299,6 +324,11 @@ def o1_global_order(spark, d):
     return R.sort(table(spark, d, "customer"), F.asc("c_mktsegment"), F.desc("c_nationkey"), F.asc("c_custkey")).select("c_custkey", "c_mktsegment", "c_nationkey")
 
 
+@query("SELECT s_suppkey, s_nationkey FROM supplier")
+def o4_sort_within_partitions(spark, d):
+    return R.hash_partition_merge(table(spark, d, "supplier").select("s_suppkey", "s_nationkey"), ["s_nationkey"], ["s_nationkey", "s_suppkey"])
+
+
 @query("SELECT s_nationkey, COUNT(*) AS n FROM supplier GROUP BY s_nationkey")
 def x5_custom_partition(spark, d):
     return R.custom_partition(table(spark, d, "supplier"), F.col("s_nationkey") * 7, 4).groupBy("s_nationkey").agg(F.count("*").alias("n"))

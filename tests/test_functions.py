@@ -39,3 +39,23 @@ def test_divide_year_and_patterns(spark):
         scalar.edit_distance(F.lit("kitten"), F.lit("sitting")).alias("d"),
     ).first()
     assert tuple(row) == (None, 1.5, 1996, None, True, 3)
+
+
+def test_user_defined_aggregates(spark, monkeypatch):
+    from quillon.functions import aggregates as A
+
+    rows = [(k if k else None, v) for k in range(40) for v in (1.0, None, float(k))] + [(5, 2.0)] * 50
+    df = spark.createDataFrame(rows, "k long, v double").repartition(7)
+    spread = A.Aggregate(init=lambda: None, iterate=lambda b, x: b if x is None else (x, x) if b is None else (min(b[0], x), max(b[1], x)), merge=lambda a, b: a if b is None else b if a is None else (min(a[0], b[0]), max(a[1], b[1])), terminate=lambda b: None if b is None else b[1] - b[0])
+    want = {}
+    for k, v in rows:
+        if v is not None:
+            lo, hi = want.get(k, (v, v))
+            want[k] = (min(lo, v), max(hi, v))
+    for held in (A.HELD, 3):
+        monkeypatch.setattr(A, "HELD", held)
+        got = {r.k: r.s for r in A.aggregate(df, ["k"], ["v"], spread, "s").collect()}
+        assert got == {k: hi - lo for k, (lo, hi) in want.items()}
+    assert A.aggregate(df.limit(0), ["k"], ["v"], spread, "s").count() == 0
+    none = A.aggregate(df.where("v is null"), ["k"], ["v"], spread, "s").where("k = 3").first()
+    assert none.s is None
