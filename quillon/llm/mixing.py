@@ -18,6 +18,10 @@ from pyspark.sql import functions as F
 from quillon.llm.common import WORD, materialize
 
 MOST_REPEATS = 3
+#: Documents after a cut that may fill what is missing there.
+FILL = 64
+#: Rows up to which a plan is broadcast.
+BROADCAST_ROWS = 100_000
 #: Weights of sources in code point order, repeating.
 WEIGHTS = (5, 2, 1)
 
@@ -113,13 +117,14 @@ def plan(
     seed: int = 11,
     cells: int = 65536,
 ) -> tuple[DataFrame, dict]:
-    """``pattern, cuts``: for each repetition the last place that is taken; and ``{source: (size, target)}``.
+    """``pattern, cuts, more``: for each repetition the last place that is taken, and single places after it; and ``{source: (size, target)}``.
 
     ``sources`` is an array of the sources that a row belongs to; a null one is a source of its own
-    and sorts last.  Each pattern's words are met to within half a document.  Documents of a pattern
-    follow a seeded hash of the id, so reruns agree; equal ids follow by size.  An empty table gives
-    an empty plan.  The driver holds a few numbers for each pattern and about ``cells`` sums, whatever
-    the number of documents; only rows of cells that a cut goes through are ever sorted.
+    and sorts last.  A pattern's words are met from below: whole documents up to a cut, then those of
+    the next ``FILL`` that fit what is missing.  Documents of a pattern follow a seeded hash of the
+    id, so reruns agree; equal ids follow by size.  An empty table gives an empty plan.  The driver
+    holds a few numbers and at most ``FILL`` places a repetition for each pattern, and about ``cells``
+    sums, whatever the number of documents; only rows of cells at a cut are ever sorted.
     """
     spark = df.sparkSession
     base = materialize(_keyed(df, sources, size, id_col, seed).select("mx.*"), "mix-base")
@@ -138,37 +143,57 @@ def plan(
 
     bits = max(1, min(12, (cells // max(1, len(sums))).bit_length() - 1))
     celled = base.where("size > 0").withColumn("cell", F.shiftright(F.col("place.h"), 62 - bits).cast("int"))
-    cell_sums: dict[tuple, list[tuple[int, int]]] = {}
-    for r in celled.groupBy("pattern", "cell").agg(F.sum("size").alias("n")).collect():
-        cell_sums.setdefault(key(r.pattern), []).append((r.cell, r.n))
-
-    # The cell in which each repetition ends; a whole one ends nowhere, none at all before the start.
-    whole, asked = {}, []
+    cell_sums: dict[tuple, list[tuple[int, int, int]]] = {}
+    for r in celled.groupBy("pattern", "cell").agg(F.sum("size").alias("n"), F.count("*").alias("k")).collect():
+        cell_sums.setdefault(key(r.pattern), []).append((r.cell, r.n, r.k))
+
+    # The cell in which each repetition ends, and those after it with the next FILL rows; a whole
+    # repetition ends nowhere, none at all before the start.
+    cuts: dict[tuple, list] = {p: [None] * most for p in sums}
+    more: dict[tuple, list] = {p: [[] for _ in range(most)] for p in sums}
+    asked = []
     for p, total in sums.items():
-        whole[p] = [total > 0 and wanted[p] >= total * (r + 1) for r in range(most)]
         for r in range(most):
-            rest, run = wanted[p] - total * r, 0
-            if whole[p][r] or rest <= 0:
-                continue
-            for c, n in sorted(cell_sums.get(p, [])):
-                if run + n >= rest:
-                    asked.append((list(p), c, r, rest - run))
-                    break
-                run += n
-    cuts = {p: [None] * most for p in sums}
+            rest, run, rows = wanted[p] - total * r, 0, None
+            if total > 0 and rest >= total:
+                cuts[p][r] = ((1 << 62), None, None)
+            elif rest > 0:
+                for c, n, k in sorted(cell_sums.get(p, [])):
+                    if rows is None and run + n >= rest:
+                        asked.append((list(p), c, r, rest - run, True))
+                        rows = 0
+                    elif rows is not None and rows < FILL:
+                        asked.append((list(p), c, r, 0, False))
+                        rows += k
+                    run += n
     if asked:
-        table = spark.createDataFrame(asked, "a_pattern array<string>, a_cell int, r int, rest long")
+        table = spark.createDataFrame(asked, "a_pattern array<string>, a_cell int, r int, rest long, ends boolean")
         order = Window.partitionBy("pattern", "cell", "r").orderBy("place")
-        at = celled.join(F.broadcast(table), F.col("pattern").eqNullSafe(F.col("a_pattern")) & (F.col("cell") == F.col("a_cell")))  # `most` rows a pattern
-        at = at.withColumn("middle", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("size") / 2)
-        ends = at.groupBy("pattern", "r", "cell").agg(F.max(F.when(F.col("middle") <= F.col("rest"), F.col("place"))).alias("cut")).collect()
-        for e in ends:
+        at = celled.join(_small(table), F.col("pattern").eqNullSafe(F.col("a_pattern")) & (F.col("cell") == F.col("a_cell")))
+        at = at.withColumn("upto", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+        at = at.withColumn("inside", F.col("ends") & (F.col("upto") <= F.col("rest")))
+        taken = at.where("ends").groupBy("pattern", "r", "cell", "rest").agg(F.max(F.when(F.col("inside"), F.col("place"))).alias("cut"), F.max(F.when(F.col("inside"), F.col("upto"))).alias("upto"))
+        left = {}
+        for e in taken.collect():
             # No place of the cell is taken: the cut lies before the cell.
             cuts[key(e.pattern)][e.r] = tuple(e.cut) if e.cut else ((e.cell << (62 - bits)) - 1, None, None)
-    last = ((1 << 62), None, None)
-    rows = [(list(p), [last if whole[p][r] else cuts[p][r] for r in range(most)]) for p in sums]
-    table = spark.createDataFrame(rows, "pattern array<string>, cuts array<struct<h:bigint,id:bigint,size:bigint>>")
-    return table, {s: (by_source[s], goal[s]) for s in goal}
+            left[key(e.pattern), e.r] = e.rest - (e.upto or 0)
+        # What is still missing is filled by the next documents of the order that fit.
+        ahead = Window.partitionBy("pattern", "r").orderBy("place")
+        after = at.where(~F.col("inside")).withColumn("nth", F.row_number().over(ahead)).where(F.col("nth") <= FILL)
+        for e in after.orderBy("r", "nth").select("pattern", "r", "place").collect():
+            p = key(e.pattern)
+            if e.place.size <= left[p, e.r]:
+                left[p, e.r] -= e.place.size
+                more[p][e.r].append(tuple(e.place))
+    rows = [(list(p), cuts[p], [x for part in more[p] for x in part]) for p in sums]
+    place = "struct<h:bigint,id:bigint,size:bigint>"
+    return spark.createDataFrame(rows, f"pattern array<string>, cuts array<{place}>, more array<{place}>"), {s: (by_source[s], goal[s]) for s in goal}
+
+
+def _small(table: DataFrame) -> DataFrame:
+    """A broadcast hint for a table of a few rows a pattern, if the patterns are not too many for that."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
 
 
 def apply(df: DataFrame, cuts: DataFrame, sources: Column, size: Column, id_col: str = "doc_id", seed: int = 11) -> DataFrame:
@@ -177,7 +202,7 @@ def apply(df: DataFrame, cuts: DataFrame, sources: Column, size: Column, id_col:
     Rows are judged alone against the cuts of their pattern, which are as few as the patterns; no row
     is shuffled.  Empty documents are never taken; repeated rows are taken alike.
     """
-    table = cuts.select(F.col("pattern").alias("mx_pattern"), F.col("cuts").alias("mx_cuts"))
-    keyed = _keyed(df, sources, size, id_col, seed).join(F.broadcast(table), F.col("mx.pattern").eqNullSafe(F.col("mx_pattern")), "left")
-    taken = F.size(F.filter("mx_cuts", lambda c: c.isNotNull() & (F.col("mx.place") <= c)))
-    return keyed.withColumn("copies", F.when((F.col("mx.size") > 0) & F.col("mx_cuts").isNotNull(), taken).otherwise(0)).drop("mx_pattern", "mx_cuts")
+    table = cuts.select(F.col("pattern").alias("mx_pattern"), F.col("cuts").alias("mx_cuts"), F.col("more").alias("mx_more"))
+    keyed = _keyed(df, sources, size, id_col, seed).join(_small(table), F.col("mx.pattern").eqNullSafe(F.col("mx_pattern")), "left")
+    taken = F.size(F.filter("mx_cuts", lambda c: c.isNotNull() & (F.col("mx.place") <= c))) + F.size(F.filter("mx_more", lambda c: F.col("mx.place") == c))
+    return keyed.withColumn("copies", F.when((F.col("mx.size") > 0) & F.col("mx_cuts").isNotNull(), taken).otherwise(0)).drop("mx_pattern", "mx_cuts", "mx_more")
