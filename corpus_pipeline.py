@@ -53,7 +53,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``doc_id, lang, source, n_tokens, ids`` of each document of the mix."""
     path, pattern = tokenizer()
-    return bpe.encode(docs, path, pattern, keep=("doc_id", "lang", "source"))
+    # Workers still hold what earlier stages left, so this one remembers fewer pieces.
+    return bpe.encode(docs, path, pattern, keep=("doc_id", "lang", "source"), remembered=100_000)
 
 
 STAGES = [

@@ -25,8 +25,9 @@ from pyspark.sql import functions as F
 
 from quillon.llm.common import frugal
 
-#: Pieces whose ids a worker remembers, in each of two generations; older ones are encoded again.
-REMEMBERED = 100_000
+#: Pieces whose ids a worker remembers by default, in each of two generations (some 200 bytes a piece);
+#: older ones are encoded again.
+REMEMBERED = 300_000
 #: Pairs of neighbours whose compatibility a worker remembers.
 PAIRS = 300_000
 #: Pieces joined at once, so that a very long text never stands in memory as a list of pieces.
@@ -144,16 +145,16 @@ class Encoder:
 class _Remembered(dict):
     """ids of pieces as little-endian bytes; two generations bound the memory."""
 
-    def __init__(self, encoder: Encoder):
+    def __init__(self, encoder: Encoder, most: int | None = None):
         super().__init__()
-        self.encoder, self.old = encoder, {}
+        self.encoder, self.old, self.most = encoder, {}, most or REMEMBERED
 
     def __missing__(self, piece: str) -> bytes:
         got = self.old.get(piece)
         if got is None:
             got = np.array(self.encoder.encode(piece.encode()), dtype="<u4").tobytes()
         if len(piece) <= 64:
-            if len(self) >= REMEMBERED:
+            if len(self) >= self.most:
                 self.old = dict(self)
                 self.clear()
             self[piece] = got
@@ -161,12 +162,12 @@ class _Remembered(dict):
 
 
 @lru_cache(maxsize=1)
-def _worker(key: str, shared) -> tuple[_Remembered, list[bytes]]:
+def _worker(key: str, shared, most: int | None = None) -> tuple[_Remembered, list[bytes]]:
     ranks = shared.value
     table = [b""] * (max(ranks.values(), default=-1) + 1)
     for t, i in ranks.items():
         table[i] = t
-    return _Remembered(Encoder(ranks)), table
+    return _Remembered(Encoder(ranks), most), table
 
 
 def encode_text(text: str, remembered, pattern) -> bytes:
@@ -183,7 +184,7 @@ def decode_ids(ids: bytes, table: list[bytes]) -> bytes:
     return b"".join([table[i] for i in np.frombuffer(ids, dtype="<u4").tolist()])
 
 
-def encode(df: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), ids: bool = True, digests: bool = False) -> DataFrame:
+def encode(df: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), ids: bool = True, digests: bool = False, remembered: int | None = None) -> DataFrame:
     """``keep`` columns, then ``n_tokens``, ``ids`` (array of int) and, if asked, digests of ids and of the decoded bytes.
 
     Null and empty texts have no ids.  Repeated rows are encoded alike.  Each text is handled alone,
@@ -198,10 +199,10 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text_col: str = "text",
     schema = ", ".join([f"`{c}` {k.simpleString()}" for c, k in zip(keep, kinds)] + [f"{c} {k}" for c, k in extra])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        remembered, table = _worker(ranks_path, shared)
+        known, table = _worker(ranks_path, shared, remembered)
         cut = regex.compile(pattern)
         for batch in batches:
-            blobs = [encode_text(t.as_py(), remembered, cut) for t in batch.column(len(keep))]
+            blobs = [encode_text(t.as_py(), known, cut) for t in batch.column(len(keep))]
             cols = [batch.column(i) for i in range(len(keep))]
             cols.append(pa.array([len(b) // 4 for b in blobs], pa.int64()))
             if ids:
