@@ -1,5 +1,6 @@
 import hashlib
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -79,3 +80,38 @@ def test_successors(spark, keys):
 def test_plan_has_no_python(spark, sf_dir):
     plan = op3_fingerprints(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def _overlap(a, b):
+    """Exact share of occurrences that two lists of paragraphs have in common."""
+    a, b = Counter(a), Counter(b)
+    return 2 * (a & b).total() / (a.total() + b.total())
+
+
+def _held_against_overlap(spark, pairs):
+    """Four standard errors of what is not shared: sqrt(2 / SKETCH) of 1 - overlap."""
+    df = spark.createDataFrame([(i, "\n".join(a), "\n".join(b)) for i, (a, b) in enumerate(pairs)], "i long, a string, b string")
+    got = {r.i: r.l for r in df.repartition(8).select("i", fp.vector(F.col("a")).alias("a"), fp.vector(F.col("b")).alias("b")).select("i", fp.likeness(F.col("a"), F.col("b")).alias("l")).collect()}
+    for i, (a, b) in enumerate(pairs):
+        exact = _overlap(a, b)
+        assert abs(got[i] - exact) <= 4 * (2 / fp.SKETCH) ** 0.5 * (1 - exact), (i, exact, got[i])
+    return got
+
+
+def test_likeness_counts_each_occurrence(spark):
+    one, ten = ["The same line."], [f"Line {i} of another text." for i in range(10)]
+    pairs = [
+        (one * 1000, ten),
+        (one * 1000, ten + one * 500),
+        (one * 1000, one * 10),
+        (one * 300 + ten * 30, ten * 40 + ["Third."] * 200),
+        (one * 50 + ten, one * 49 + ten),
+        (ten * 20, [f"Other {i}." for i in range(10)] * 20),
+    ]
+    got = _held_against_overlap(spark, pairs)
+    assert got[0] < 0.5 and got[5] < 0.5 and got[4] > 0.95
+
+
+def test_repeated_paragraphs_add_up(spark):
+    df = spark.createDataFrame([("\n".join(["a", "b"] * 9), "\n".join(["b"] * 4), "\n".join(["a"] * 9 + ["b"] * 13))], "a string, b string, w string")
+    assert df.select((fp.combine(fp.vector(F.col("a")), fp.vector(F.col("b"))) == fp.vector(F.col("w"))).alias("put")).first().put
