@@ -115,3 +115,12 @@ def test_likeness_counts_each_occurrence(spark):
 def test_repeated_paragraphs_add_up(spark):
     df = spark.createDataFrame([("\n".join(["a", "b"] * 9), "\n".join(["b"] * 4), "\n".join(["a"] * 9 + ["b"] * 13))], "a string, b string, w string")
     assert df.select((fp.combine(fp.vector(F.col("a")), fp.vector(F.col("b"))) == fp.vector(F.col("w"))).alias("put")).first().put
+
+
+def test_likeness_of_long_texts(spark):
+    pairs = []
+    for n in (1_250, 2_000, 20_000, 100_000):
+        own, other = [f"Line {i}." for i in range(n // 2)], [f"Other {i}." for i in range(n // 2)]
+        pairs += [(own, other), (own, own[: n // 3] + other[n // 3 :])]
+    got = _held_against_overlap(spark, pairs)
+    assert all(got[i] < 0.6 for i in range(0, len(pairs), 2))
