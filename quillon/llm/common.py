@@ -7,10 +7,10 @@ import math
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.session import materialize
+from quillon.session import materialize, ship
 from quillon.session import table as read_table
 
 __all__ = ["WORD", "frugal", "materialize", "range_index", "read_table"]
@@ -23,7 +23,9 @@ def frugal(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
     """A mapper over Arrow batches that sees at most ``rows`` rows at once and returns memory when its task ends.
 
     Python workers live on between tasks and stages; what the allocators keep would add up in an executor.
+    They need this package, so it is shipped here if it was not yet.
     """
+    ship(SparkSession.active())
 
     def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -14,27 +14,79 @@ def _held(i):
 
 @pytest.fixture(scope="module")
 def grammar():
-    return toxicity.Grammar(lexicon={"moron": 2.0, "trash": 2.0, "vequ*": 2.0}, bias=-3.0, slope=1.5)
+    return toxicity.Grammar(lexicon={"moron": 2.0, "trash": 2.0, "vequ*": 2.0, "oaf": 0.5}, bias=-5.0, slope=0.5, dense=4.0)
 
 
-def _weigh(g, text):
-    return g.weigh(text, g.automaton())
+@pytest.fixture(scope="module")
+def weigh(grammar):
+    return grammar.reader().weigh
 
 
-def test_clauses_and_modifiers(grammar):
-    plain = _weigh(grammar, "What a moron.")
+def test_clauses_and_modifiers(weigh):
+    plain = weigh("What a moron.")
     assert plain == 2.0
-    assert _weigh(grammar, "You are a moron.") > plain
-    assert _weigh(grammar, "He is not a moron.") < _weigh(grammar, "He is a moron.")
-    assert _weigh(grammar, "She said you are a moron.") < _weigh(grammar, "You are a moron.")
-    assert _weigh(grammar, "I will kill you") > 0 and _weigh(grammar, "kill the process") == 0
-    assert _weigh(grammar, "a moron. More trash!\nvequina") == 6.0
-    assert _weigh(grammar, "") == 0 and _weigh(grammar, "trashy novels") == 0 and _weigh(grammar, "MORON") == 2.0
-    assert _weigh(toxicity.Grammar(), "nothing learned, kill you") > 0
-
-
-def test_negation_reaches_three_words(grammar):
-    assert _weigh(grammar, "not a big moron") < 2.0 and _weigh(grammar, "not one of those very big moron") == 2.0
+    assert weigh("You are a moron.") == weigh("Moron that you are") == plain + toxicity.DIRECTED
+    assert 0 < weigh("He is not a moron.") < weigh("She said he is a moron.") < plain < weigh("He is a moron.")
+    assert weigh("I will kill you") == weigh("you he will kill") == toxicity.THREAT and weigh("kill the process") == 0
+    assert 0 < weigh("he said i will kill you") < toxicity.THREAT and weigh("I will not kill you") == 0
+    assert weigh("a moron. More trash!\nthe vequina") == 6.0
+    assert weigh("") == 0 and weigh("trashy novels") == 0 and weigh("A MORON") == 2.0
+    assert toxicity.Grammar().reader().weigh("nothing learned, kill you") > 0
+
+
+def test_isolated_words_weigh_nothing(weigh, grammar):
+    for text in ("moron", "moron!", "Moron. Trash! moron\ntrash", "moron trash, moron"):
+        assert weigh(text) == 0 and grammar.score(0.0, len(text)) < 0.3
+    assert weigh("oaf, moron in a clause") == 2.0  # of what came before the first other word, the heaviest counts
+
+
+def test_scores_of_clauses(weigh, grammar):
+    score = lambda t: grammar.score(weigh(t), len(t))
+    assert score("you are a moron") >= 0.3 > score("he said you are not a moron")
+    assert score("they called him a moron and i told them never to say that") < score("you are a moron")
+
+
+def test_negation_reaches_three_words(weigh):
+    assert weigh("not a big moron") < 2.0 and weigh("not one of those very big moron") == 2.0
+
+
+def _one_by_one(symbols):
+    """Weight of a clause: each transducer reads all that the one before it wrote."""
+    total = 0.0
+    for make in toxicity.CASCADE:
+        part = make()
+        state, out = part.start, []
+        for s in symbols:
+            state, written, weight = part.step(state, s)
+            out.append(written)
+            total += weight
+        symbols = out
+    return total
+
+
+def test_composition_is_the_cascade():
+    table = toxicity.machine()
+    rng = random.Random(4)
+    for _ in range(3000):
+        symbols = [rng.choice(toxicity.SYMBOLS) for _ in range(rng.randrange(12))]
+        state, total = 0, 0.0
+        for s in symbols:
+            state, weight = table[state][s]
+            total += weight
+        assert total == pytest.approx(_one_by_one(symbols))
+    assert all(set(row) == set(toxicity.SYMBOLS) for row in table)
+
+
+def test_long_texts_take_linear_time(weigh):
+    import time
+
+    took = {}
+    for n in (200_000, 800_000):
+        for text in ("abc moron " * (n // 10), "moron abc. " * (n // 11), "moron " * (n // 6), "x" * n + " moron", "moron! " * (n // 7)):
+            start = time.time()
+            weigh(text)
+            took[n] = max(took.get(n, 0.0), time.time() - start)
+    assert took[800_000] < 8 * took[200_000] + 0.5 and took[800_000] < 2
 
 
 def test_fit_and_score(spark):
@@ -49,7 +101,7 @@ def test_fit_and_score(spark):
             w[rng.randrange(60)] = rng.choice(bad) + rng.choice(["", "s"])
         docs.append((i, " ".join(w)))
         labels.append((i, int(toxic)))
-    docs += [(None, None), (1000, ""), (1001, "zzmoron " * 50_000), (3, docs[3][1])]
+    docs += [(None, None), (1000, ""), (1001, "a zzmoron " * 50_000), (3, docs[3][1])]
     df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("t", F.lit(1)).withColumn("y", F.lit(2))
     lab = spark.createDataFrame([*labels, (None, 1), (5, None)], "doc_id long, toxic int")
     g = toxicity.fit(df, lab)
@@ -82,6 +134,14 @@ def test_toxicity_query(spark, sf_dir):
     assert all(r.held_out == _held(r.doc_id) and r.predicted == (r.score >= 0.3) for r in got)
 
 
+def test_held_out_accuracy(spark):
+    """At least nine of ten toxic documents, and at most one of a hundred others."""
+    d = "/root/testdata/sf0.1"
+    got = op4_toxicity(spark, d).where("held_out").join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").where("toxic is not null")
+    n = {(r.toxic, r.predicted): r["count"] for r in got.groupBy("toxic", "predicted").count().collect()}
+    assert n[1, 1] >= 0.9 * (n[1, 1] + n.get((1, 0), 0)) and n.get((0, 1), 0) <= 0.01 * (n[0, 0] + n.get((0, 1), 0))
+
+
 # -- languages ---------------------------------------------------------------------------------------
 def test_normalise():
     as_text = lambda t: "".join(map(chr, langid.normalise(t)))
