@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from quillon.session import materialize, ship
 from quillon.session import table as read_table
 
-__all__ = ["WORD", "frugal", "materialize", "range_index", "read_table"]
+__all__ = ["WORD", "bound", "frugal", "in_blocks", "materialize", "range_index", "read_table", "running"]
 
 #: ASCII white space that separates words; everything else is part of a word.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -56,3 +56,37 @@ def range_index(key: Column, splitters: list[str]) -> Column:
     block = F.size(F.filter(F.expr(array(b[0] for b in blocks)), lambda s: s <= key))
     inner = F.element_at(F.expr(array(array(b) for b in blocks)), block)
     return F.when(block == 0, 0).otherwise((block - 1) * width + F.size(F.filter(inner, lambda s: s <= key)))
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once: inside a lambda an expression is computed anew for every item."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def in_blocks(items: Column) -> Column:
+    """An array cut into blocks of the square root of its size; null if it is empty."""
+    width = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(items)))).cast("int")
+    cut = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.size(items), F.lit(1)), w), lambda at: F.slice(items, at, w))
+    return F.when(F.size(items) > 0, bound(width, cut))
+
+
+def running(items: Column, state: Column, step: Callable[[Column, Column], Column], emit: Callable[[Column, Column], Column], kind: str) -> Column:
+    """What ``emit(state, item)``, an array of ``kind``, gives for each item in turn, joined; ``step`` gives the next state.
+
+    The items are walked in blocks of the square root of their number, as an array that grows item by
+    item is copied each time.  With blocks n items cost about n * sqrt(n) copied references.
+    """
+    none = F.array().cast(f"array<{kind}>")
+    blocks = bound(items, in_blocks)
+    walked = F.aggregate(
+        blocks,
+        F.struct(state.alias("state"), F.array().cast(f"array<array<{kind}>>").alias("out")),
+        lambda done, block: F.aggregate(
+            block,
+            F.struct(done["state"].alias("state"), none.alias("out")),
+            lambda s, x: F.struct(step(s["state"], x).alias("state"), F.concat(s["out"], emit(s["state"], x)).alias("out")),
+            lambda s: F.struct(s["state"].alias("state"), F.concat(done["out"], F.array(s["out"])).alias("out")),
+        ),
+        lambda done: F.flatten(done["out"]),
+    )
+    return F.coalesce(walked, none)

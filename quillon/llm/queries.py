@@ -38,7 +38,7 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
         count("access"),
         count("hex"),
         F.sha2(secrets.digest(F.col("secret_base")), 256).alias("base_sha256"),
-        secrets.digest(F.array_sort(F.concat("secret_base", "secret_linked"))).alias("spans"),
+        secrets.digest(secrets.all_spans(F.col("secret_base"), F.col("secret_linked"))).alias("spans"),
     )
 
 
