@@ -35,9 +35,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with secrets and linked parts of secrets masked."""
-    found = secrets.scan(_packed(docs), base_col="base", linked_col="linked").withColumn("spans", F.concat("base", "linked"))
-    masked = F.col("row").withField("text", secrets.redact(F.col("text"), F.col("spans")))
-    masked = masked.withField("n_chars", F.length(secrets.redact(F.col("text"), F.col("spans"))).cast("long"))
+    found = secrets.scan(_packed(docs), base_col="base", linked_col="linked").withColumn("spans", secrets.all_spans(F.col("base"), F.col("linked")))
+    found = found.withColumn("masked", secrets.redact(F.col("text"), F.col("spans")))
+    masked = F.col("row").withField("text", F.col("masked")).withField("n_chars", F.length("masked").cast("long"))
     return found.select(F.when(F.size("spans") > 0, masked).otherwise(F.col("row")).alias("row")).select("row.*")
 
 
