@@ -13,8 +13,11 @@
    power of two near the set's size, flipped by every shingle that falls there.  Two sketches differ
    in no more bits than the sets differ in shingles, so no pair that links is lost.
 5. Groups that were paired are brought together, expanded to their classes and verified on the whole
-   sets, block by block.  A block gives out a spanning forest and numbers of links, one row a class,
-   so a cluster of m documents makes m rows, not m*m.
+   sets, block by block.  Pairs of classes that are in one component already are not compared: only
+   components are asked for.  A block gives out a spanning forest, so a cluster of m classes makes
+   less than m rows, not m*m.  A neighbourhood of more than ``CLASSES`` classes is cut into chunks.
+   First each chunk meets itself and one chunk of each hub; only hubs whose classes are in several
+   components after that let all their chunks meet.
 6. Connected components over the forests.
 
 The order in (2) decides what is compared, never what is linked: any order gives the same links.
@@ -40,8 +43,9 @@ CHUNK = 4_000_000
 FREQUENT = 32
 #: Prefixes up to which a shingle makes rows of pairs.
 DENSE = 64
-#: Shingles of a verification block, about; larger neighbourhoods are cut into blocks against blocks.
+#: Shingles and classes of a chunk, about; larger neighbourhoods are cut.  A block is at most two chunks, so it compares at most about CLASSES**2 pairs.
 BLOCK = 2_000_000
+CLASSES = 1024
 #: Rows up to which a list of documents is broadcast (about 100 bytes a row); longer lists are joined by shuffle.
 BROADCAST_ROWS = 300_000
 
@@ -181,77 +185,85 @@ def _meeting(percent: int, n, pos, prev, side) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([np.empty(0, np.int64), *found_i]), np.concatenate([np.empty(0, np.int64), *found_j])
 
 
+class _Block:
+    """The classes of a block: sizes, sets, sketches, and the component of each so far."""
+
+    def __init__(self, arrays: list[np.ndarray], roots: list[bytes], percent: int):
+        self.arrays, self.percent = arrays, percent
+        self.size = np.array([len(x) for x in arrays], dtype=np.int64)
+        self.label = np.unique(np.array(roots, dtype=object), return_inverse=True)[1] if roots else np.empty(0, np.int64)
+        marks = [np.frombuffer(sketch(x), np.uint8) for x in arrays]
+        self.level = np.array([len(m) for m in marks], dtype=np.int64)
+        self.marks, self.folded = marks, {}
+        self.forest: list[tuple[int, int]] = []
+
+    def _sketches(self, level: int) -> np.ndarray:
+        """Sketches of ``level`` bytes of all classes that have as many or more; other rows stay 0."""
+        if level not in self.folded:
+            table = np.zeros((len(self.marks), level), np.uint8)
+            for i in np.flatnonzero(self.level >= level):
+                m = self.marks[i]
+                while len(m) > level:
+                    m = m[: len(m) // 2] ^ m[len(m) // 2 :]
+                table[i] = m
+            self.folded[level] = table
+        return self.folded[level]
+
+    def meet(self, i: int, others: np.ndarray) -> None:
+        """Links class i to those of ``others`` that are like enough and not in its component yet."""
+        j = others[self.label[others] != self.label[i]]
+        j = j[np.minimum(self.size[j], self.size[i]) * 100 >= np.maximum(self.size[j], self.size[i]) * self.percent]
+        for level in np.unique(np.minimum(self.level[j], self.level[i])):
+            part = j[np.minimum(self.level[j], self.level[i]) == level]
+            table = self._sketches(int(level))
+            both = self.size[part] + self.size[i]
+            apart = np.bitwise_count(table[part] ^ table[i]).sum(axis=1, dtype=np.int64)
+            for k in part[apart * (100 + self.percent) <= both * (100 - self.percent)].tolist():
+                if self.label[k] != self.label[i] and self._like(i, k):
+                    self.label[self.label == self.label[k]] = self.label[i]
+                    self.forest.append((i, k))
+
+    def _like(self, i: int, j: int) -> bool:
+        x, y = self.arrays[i], self.arrays[j]
+        if len(x) > len(y):
+            x, y = y, x
+        at = np.searchsorted(y, x)
+        at[at == len(y)] = 0
+        both = int(np.count_nonzero(y[at] == x))
+        return 100 * both >= self.percent * (len(x) + len(y) - both)
+
+
 def _verify(percent: int):
     def run(sets: pa.Table, met: pa.Table) -> pa.Table:
-        """Links between the classes of groups that meet in a block: a row for each class that has any."""
-        place: dict[int, int] = {}
-        members: list[list[int]] = []
-        first: set[bytes] = set()
-        arrays, weight, names = [], [], []
-        for gid, sig, copies, blob in zip(sets.column("gid").to_pylist(), sets.column("sig").to_pylist(), sets.column("copies").to_pylist(), sets.column("s")):
-            if sig not in first:
-                first.add(sig)
-                if gid not in place:
-                    place[gid] = len(members)
-                    members.append([])
-                members[place[gid]].append(len(names))
-                names.append(sig)
-                weight.append(copies)
-                arrays.append(np.frombuffer(blob.as_buffer(), dtype=np.uint64))  # a view, not a copy
-        marks = [sketch(x) for x in arrays]
-        root = list(range(len(names)))
-        links = [0] * len(names)
-
-        def top(i: int) -> int:
-            while root[i] != i:
-                root[i] = root[root[i]]
-                i = root[i]
-            return i
-
-        def compare(i: int, j: int) -> None:
-            x, y = arrays[i], arrays[j]
-            if len(x) > len(y):
-                x, y = y, x
-            if 100 * len(x) < percent * len(y) or differing(marks[i], marks[j]) * (100 + percent) > (len(x) + len(y)) * (100 - percent):
-                return
-            at = np.searchsorted(y, x)
-            at[at == len(y)] = 0
-            both = int(np.count_nonzero(y[at] == x))
-            if 100 * both >= percent * (len(x) + len(y) - both):
-                links[i] += weight[j]
-                links[j] += weight[i]
-                root[top(i)] = top(j)
-
-        size = max(1, len(members))
-        seen = np.empty(0, np.int64)  # pairs of groups, as numbers, each compared once
-
-        def meet(a: np.ndarray, b: np.ndarray) -> None:
-            nonlocal seen
-            codes = np.setdiff1d(np.minimum(a, b) * size + np.maximum(a, b), seen)
-            seen = np.union1d(seen, codes)
-            for code in codes:
-                g, h = divmod(int(code), size)
-                for i in members[g]:
-                    for j in members[h]:
-                        if g != h or i < j:
-                            compare(i, j)
-
-        where = lambda column: np.array([place.get(g, -1) for g in column.to_pylist()], dtype=np.int64)
-        light, dense = (met.filter(f(met.column("token"))) for f in (pc.is_null, pc.is_valid))  # without nulls, ids stay integers
-        a, b = where(light.column("a")), where(light.column("b"))
-        known = (a >= 0) & (b >= 0)
-        meet(a[known], b[known])
-        dense = dense.sort_by("token")
-        groups = where(dense.column("a"))
+        """A forest of links between the classes of groups that meet in a block."""
+        members: dict[int, list[int]] = {}
+        names: list[bytes] = []
+        arrays, roots = [], []
+        for gid, sig, root, blob in zip(*(sets.column(c).to_pylist() for c in ("gid", "sig", "root")), sets.column("s")):
+            members.setdefault(gid, []).append(len(names))
+            names.append(sig)
+            roots.append(root)
+            arrays.append(np.frombuffer(blob.as_buffer(), dtype=np.uint64))  # a view, not a copy
+        block = _Block(arrays, roots, percent)
+        classes = {g: np.array(m, dtype=np.int64) for g, m in members.items()}
+        for a, b in sorted({(a, b) for a, b in zip(met.column("a").to_pylist(), met.column("b").to_pylist()) if b is not None and a in classes and b in classes}):
+            for i in classes[a]:
+                block.meet(i, classes[b] if a != b else classes[b][classes[b] > i])
+        dense = met.filter(pc.is_valid(met.column("token"))).sort_by("token")
         tokens, sizes, befores, sides = (dense.column(c).to_numpy() for c in ("token", "np", "prev", "side"))
-        cuts = [0, *(np.flatnonzero(tokens[1:] != tokens[:-1]) + 1).tolist(), len(tokens)]
+        groups = dense.column("a").to_pylist()
+        cuts = [0, *(np.flatnonzero(tokens[1:] != tokens[:-1]) + 1).tolist(), len(tokens)] if len(tokens) else []
         for lo, hi in zip(cuts, cuts[1:]):
+            every = [classes[g] for g in groups[lo:hi] if g in classes]
+            if not every or len(np.unique(block.label[np.concatenate(every)])) < 2:
+                continue  # all that meet here are in one component
             i, j = _meeting(percent, sizes[lo:hi] >> 24, sizes[lo:hi] & ((1 << 24) - 1), befores[lo:hi], sides[lo:hi])
-            a, b = groups[lo:hi][i], groups[lo:hi][j]
-            known = (a >= 0) & (b >= 0)
-            meet(a[known], b[known])
-        kept = [i for i in range(len(names)) if links[i]]
-        return pa.table({"sig": pa.array([names[i] for i in kept], pa.binary()), "root": pa.array([names[top(i)] for i in kept], pa.binary()), "links": pa.array([links[i] for i in kept], pa.int64())})
+            for first in np.unique(i):
+                near = [classes[groups[lo + k]] for k in j[i == first].tolist() if groups[lo + k] in classes]
+                if near and groups[lo + first] in classes:
+                    for x in classes[groups[lo + first]]:
+                        block.meet(x, np.concatenate(near))
+        return pa.table({"a": pa.array([names[i] for i, _ in block.forest], pa.binary()), "b": pa.array([names[j] for _, j in block.forest], pa.binary())})
 
     return run
 
@@ -307,12 +319,12 @@ def _sketched(pairs: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
-    """One row per input row: ``id, th, n_shingles, component_id, n_links, component``.
+    """One row per input row: ``id, th, n_shingles, component_id, component``.
 
     ``th`` is a hash of the text, ``component`` the key of the component, null without shingles.
     Two documents link when ``100 * common >= percent * union`` of their shingle sets, exactly (up to
-    64-bit hashes of shingles).  ``component_id`` is the smallest id that links reach, ``n_links`` the
-    number of other rows linked directly, rows of equal sets included.  Null and empty texts have no
+    64-bit hashes of shingles).  ``component_id`` is the smallest id that links reach.  Links inside a
+    component are not counted: their number grows with its square.  Null and empty texts have no
     shingles, link with nothing and are their own component.  Null ids are allowed: they never are
     the smallest id unless all of a component are null.  Repeated rows link like any copies.  Other
     columns are ignored; an empty table gives an empty result.
@@ -330,7 +342,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         common = np.zeros(1, np.uint64)
     frequent = spark.sparkContext.broadcast(common)
 
-    classes = rows.where("sig is not null").groupBy("sig").agg(F.min("id").alias("first_id"), F.count("*").alias("copies"), F.min_by("th", F.coalesce("id", F.lit((1 << 63) - 1))).alias("th"))
+    classes = rows.where("sig is not null").groupBy("sig").agg(F.min("id").alias("first_id"), F.min_by("th", F.coalesce("id", F.lit((1 << 63) - 1))).alias("th"))
     prefixes = materialize(_prefixes(docs, words, percent, frequent), "jaccard-prefixes")
     groups = prefixes.groupBy("gid").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"), (F.min("sig") == F.max("sig")).alias("single"), F.first("sketch").alias("sketch"))
     members = prefixes.select("gid", "sig", "n").distinct()
@@ -351,50 +363,72 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     hub = spokes.join(label, "a").groupBy("token").agg(F.min("label").alias("label"))
     near = both.join(label.select(F.col("a").alias("b"), "label"), "b").select("a", "label")
     label = near.union(label).union(spokes.join(_small(hub), "token").select("a", "label")).groupBy("a").agg(F.min("label").alias("label"))
-    label = label.join(sizes.select(F.col("gid").alias("a"), "tokens"), "a")
-    cuts = label.groupBy("label").agg(F.ceil(F.sum("tokens") / BLOCK).alias("cuts")).where("cuts > 1")
-    chunk = label.join(_small(cuts), "label", "left").select("a", F.xxhash64("label", F.pmod(F.xxhash64("a"), F.coalesce("cuts", F.lit(1)))).alias("chunk"))
-    chunk = materialize(chunk, "jaccard-chunks")
+    label = label.join(sizes.select(F.col("gid").alias("a"), "tokens", "m"), "a")
+    cuts = label.groupBy("label").agg(F.ceil(F.greatest(F.sum("tokens") / BLOCK, F.sum("m") / CLASSES)).cast("long").alias("cuts")).where("cuts > 1")
+    cell = F.pmod(F.xxhash64("sig"), F.coalesce("cuts", F.lit(1)))
+    placed = label.select(F.col("a").alias("gid"), "label").join(_small(cuts), "label", "left").join(members.select("gid", "sig"), "gid")
+    placed = materialize(placed.select("gid", "sig", F.xxhash64("label", cell).alias("chunk")), "jaccard-chunks")
+    spots = placed.select("gid", "chunk").distinct()
+
     block = lambda x, y: F.xxhash64(F.least(x, y), F.greatest(x, y)).alias("block")
     blank = [F.lit(None).cast("long").alias(c) for c in ("token", "np", "prev", "side")]
-    paired = pairs.join(chunk.withColumnRenamed("chunk", "ca"), "a").join(chunk.select(F.col("a").alias("b"), F.col("chunk").alias("cb")), "b")
-    paired = paired.select(block("ca", "cb"), "a", "b", *blank)
-    spread = hubs.withColumnRenamed("gid", "a").join(chunk, "a")
-    reached = spread.groupBy("token").agg(F.collect_set("chunk").alias("chunks"))
-    spread = spread.join(_small(reached), "token").withColumn("other", F.explode("chunks"))
-    side = F.when(F.col("chunk") == F.col("other"), -1).when(F.col("chunk") < F.col("other"), 0).otherwise(1).cast("long").alias("side")
-    spread = spread.select(block("chunk", "other"), "a", F.lit(None).cast("long").alias("b"), "token", "np", "prev", side)
-    blocks = materialize(paired.union(spread), "jaccard-blocks")
-    ends = blocks.select(F.col("a").alias("gid"), "block").union(blocks.where("b is not null").select("b", "block"))
-    needed = ends.groupBy("gid").agg(F.collect_set("block").alias("blocks"))
-    wanted = needed.join(members, "gid").join(classes.select("sig", "copies", "first_id", "th"), "sig")
-    wanted = materialize(wanted.select(F.col("th").alias("w_th"), F.col("first_id").alias("w_id"), "gid", "sig", "copies", "blocks"), "jaccard-wanted")
-    if wanted.count() <= BROADCAST_ROWS:
-        wanted = F.broadcast(wanted)
+    paired = pairs.join(spots.select(F.col("gid").alias("a"), F.col("chunk").alias("ca")), "a").join(spots.select(F.col("gid").alias("b"), F.col("chunk").alias("cb")), "b")
+    paired = paired.where("a <> b or ca <= cb").select(block("ca", "cb"), "ca", "cb", "a", "b", *blank)
+    spread = hubs.withColumnRenamed("gid", "a").join(spots.withColumnRenamed("gid", "a"), "a")
+    reached = materialize(spread.select("token", F.col("chunk").alias("other")).distinct(), "jaccard-reached")
+    first = reached.groupBy("token").agg(F.min("other").alias("pivot"))
+    several = materialize(reached.groupBy("token").agg(F.count("*").alias("k")).where("k > 1").select("token"), "jaccard-several")
+
+    def meetings(rows: DataFrame) -> DataFrame:
+        """A row for each group of a hub and each chunk ``other`` that its chunk meets."""
+        side = F.when(F.col("chunk") == F.col("other"), -1).when(F.col("chunk") < F.col("other"), 0).otherwise(1).cast("long").alias("side")
+        return rows.select(block("chunk", "other"), F.col("chunk").alias("ca"), F.col("other").alias("cb"), "a", F.lit(None).cast("long").alias("b"), "token", "np", "prev", side)
+
+    known = classes.select("sig", "first_id", "th")
+    once = placed.select("sig").distinct().join(known, "sig").select(F.col("th").alias("w_th"), F.col("first_id").alias("w_id"), "sig")
+    if once.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        once = F.broadcast(once)
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [(i, s) for i, s in _batches(batch, words)]
             kept = [i for i, s in sets if signature(s) == batch.column("sig")[i].as_py()]  # equal ids and hashes of other texts
             blobs = pa.array([sets[i][1].tobytes() for i in kept], pa.binary())
-            rows = batch.select(["blocks", "gid", "sig", "copies"]).take(pa.array(kept, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*rows.columns, blobs], names=["blocks", "gid", "sig", "copies", "s"])
+            yield pa.RecordBatch.from_arrays([batch.column("sig").take(pa.array(kept, pa.int64())), blobs], names=["sig", "s"])
 
     # One document of each class that is needed brings its whole set.
-    held = docs.join(wanted, (F.col("th") == F.col("w_th")) & F.col("id").eqNullSafe(F.col("w_id"))).select("t", "blocks", "gid", "sig", "copies")
-    sets = held.mapInArrow(frugal(whole), "blocks array<long>, gid long, sig binary, copies long, s binary")
-    brought = sets.select(F.explode("blocks").alias("block"), "gid", "sig", "copies", "s")
-    check = brought.groupBy("block").cogroup(blocks.groupBy("block")).applyInArrow(_verify(percent), "sig binary, root binary, links long")
-    linked = materialize(check, "jaccard-links")
+    held = docs.join(once, (F.col("th") == F.col("w_th")) & F.col("id").eqNullSafe(F.col("w_id"))).select("t", "sig")
+    sets = materialize(held.mapInArrow(frugal(whole), "sig binary, s binary").dropDuplicates(["sig"]), "jaccard-wanted")
+
+    def verified(blocks: DataFrame, roots: DataFrame | None) -> DataFrame:
+        blocks = materialize(blocks, "jaccard-blocks")
+        ends = blocks.select(F.col("a").alias("gid"), "block", "ca", "cb").union(blocks.where("b is not null").select("b", "block", "ca", "cb"))
+        inside = ends.select("gid", "block", F.explode(F.array("ca", "cb")).alias("chunk")).distinct().join(placed, ["gid", "chunk"]).dropDuplicates(["block", "sig"])
+        inside = inside.join(roots, "sig", "left") if roots is not None else inside.withColumn("root", F.col("sig"))
+        brought = inside.join(sets, "sig").select((F.col("block") + 0).alias("block"), "gid", "sig", F.coalesce("root", "sig").alias("root"), "s")
+        return materialize(brought.groupBy("block").cogroup(blocks.drop("ca", "cb").groupBy("block")).applyInArrow(_verify(percent), "a binary, b binary"), "jaccard-links")
+
+    start = spread.join(first, "token").withColumn("other", F.explode(F.array_distinct(F.array("chunk", "pivot")))).drop("pivot")
+    # The pivot's own groups also meet the other chunks.
+    back = spread.join(first, (spread["token"] == first["token"]) & (F.col("chunk") == F.col("pivot"))).drop(first["token"]).drop("pivot").join(_small(several), "token", "left_semi").join(reached, "token").where("other <> chunk")
+    linked = verified(paired.union(meetings(start)).union(meetings(back.select(*start.columns))), None)
+    comp = connected_components(linked)
+    if several.limit(1).count():
+        # Hubs over several chunks whose classes are still in several components let all their chunks meet.
+        rooted = comp.select(F.col("node").alias("sig"), "root")
+        of = hubs.select("token", "gid").join(_small(several), "token", "left_semi").join(placed.select("gid", "sig"), "gid").join(rooted, "sig", "left").select("token", F.coalesce("root", "sig").alias("root"))
+        open_ = materialize(of.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("token"), "jaccard-open")
+        if open_.limit(1).count():
+            rest = spread.join(_small(open_), "token", "left_semi").join(reached, "token").join(first, "token").where("chunk <> other and chunk <> pivot and other <> pivot").drop("pivot")
+            more = verified(meetings(rest.select(*start.columns)), rooted)
+            comp = connected_components(linked.union(more))
 
-    comp = connected_components(linked.select(F.col("sig").alias("a"), F.col("root").alias("b")))
     reach = comp.select(F.col("node").alias("sig"), "root").join(classes.select("sig", "first_id"), "sig")
     smallest = reach.groupBy("root").agg(F.min("first_id").alias("least_id"))
     reach = reach.join(smallest, "root").select("sig", "root", "least_id")
-    degree = linked.groupBy("sig").agg(F.sum("links").alias("links"))
-    known = classes.join(reach, "sig", "left").join(degree, "sig", "left").select("sig", F.coalesce("root", "sig").alias("component"), F.coalesce("least_id", "first_id").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    full = rows.where("sig is not null").join(known, "sig").select("id", "th", F.col("n").alias("n_shingles"), "component_id", "n_links", "component")
-    none = rows.where("sig is null").select("id", "th", F.col("n").alias("n_shingles"), F.col("id").alias("component_id"), F.lit(0).cast("long").alias("n_links"), F.lit(None).cast("binary").alias("component"))
+    joined = classes.join(reach, "sig", "left").select("sig", F.coalesce("root", "sig").alias("component"), F.coalesce("least_id", "first_id").alias("component_id"))
+    full = rows.where("sig is not null").join(joined, "sig").select("id", "th", F.col("n").alias("n_shingles"), "component_id", "component")
+    none = rows.where("sig is null").select("id", "th", F.col("n").alias("n_shingles"), F.col("id").alias("component_id"), F.lit(None).cast("binary").alias("component"))
     return full.union(none)
 
 

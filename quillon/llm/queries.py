@@ -44,7 +44,7 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = jaccard.near_duplicates(read_table(spark, sf_dir, "documents"), words=3, percent=90)
-    return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "n_links")
+    return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
 
 
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -169,8 +169,8 @@ c AS (SELECT x.r AS a, y.r AS b, COUNT(*) AS k FROM s x JOIN s y ON x.g = y.g AN
 l AS (SELECT a, b FROM c JOIN n na ON na.r = a JOIN n nb ON nb.r = b WHERE 100 * k >= 90 * (na.n + nb.n - k)),
 reach AS (SELECT r AS a, r AS b FROM d UNION SELECT reach.a, l.b FROM reach JOIN l ON l.a = reach.b),
 m AS (SELECT reach.a, MIN(d.doc_id) AS component_id FROM reach JOIN d ON d.r = reach.b GROUP BY reach.a)
-SELECT d.doc_id, COALESCE(n.n, 0) AS n_shingles, m.component_id, COALESCE(k.k, 0) AS n_links
-FROM d JOIN m ON m.a = d.r LEFT JOIN n ON n.r = d.r LEFT JOIN (SELECT a, COUNT(*) AS k FROM l GROUP BY a) k ON k.a = d.r""",
+SELECT d.doc_id, COALESCE(n.n, 0) AS n_shingles, m.component_id
+FROM d JOIN m ON m.a = d.r LEFT JOIN n ON n.r = d.r""",
     "op5_embeddings": """WITH RECURSIVE
 e AS (SELECT ROW_NUMBER() OVER () AS r, vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
 f AS (SELECT * FROM e WHERE label IS NOT NULL AND v IS NOT NULL AND LEN(v) > 0 AND LEN([x FOR x IN v IF x IS NULL OR NOT ISFINITE(x)]) = 0 AND LEN([x FOR x IN v IF x <> 0]) > 0),

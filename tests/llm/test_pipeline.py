@@ -17,8 +17,8 @@ def test_stages_one_by_one(spark, sf_dir, reference):  # noqa: F811
     clean = P.drop_toxic(spark, docs, sf_dir).cache()
     assert clean.columns == docs.columns and clean.dtypes == docs.dtypes
     g = toxicity.fit(docs, read_table(spark, sf_dir, "labels"))
-    found = g.automaton()
-    assert {r.doc_id for r in clean.collect()} == {d for d, r in rows.items() if g.score(g.weigh(r.text or "", found)) < 0.3}
+    weigh = g.reader().weigh
+    assert {r.doc_id for r in clean.collect()} == {d for d, r in rows.items() if g.score(weigh(r.text or ""), len(r.text or "")) < 0.3}
 
     single = P.drop_near_copies(spark, clean, sf_dir).cache()
     assert single.columns == docs.columns
