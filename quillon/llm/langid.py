@@ -29,8 +29,6 @@ ORDER = 4
 DISCOUNT = 0.75
 #: Rows of each language that the models are fitted on, at most about: those of the smallest hashes.
 TRAINING_ROWS = 800
-#: N-grams of a language and order that a model keeps, at most; the rarest go first.
-MOST_GRAMS = 400_000
 #: Letters that are scored at once, so that memory does not follow the length of a text.
 AT_ONCE = 1 << 20
 
@@ -171,7 +169,7 @@ def _build(counts, langs: list[str]) -> Models:
         own = counts[counts["lang"] == lang]
         by = {}
         for k in range(1, ORDER + 1):
-            t = own[own["k"] == k].nlargest(MOST_GRAMS, "n")
+            t = own[own["k"] == k]
             gram, head, tail, n = (t[c].to_numpy(np.int64).view(np.uint64) if c != "n" else t[c].to_numpy(float) for c in ("gram", "head", "tail", "n"))
             order = np.argsort(gram)
             by[k] = [gram[order], head[order], tail[order], n[order]]
@@ -225,7 +223,8 @@ def fit(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str =
     """Models of all languages among the ``usable`` rows with a language, each fitted on at most about ``rows`` of them.
 
     Rows are taken by the smallest hashes of their ids; a fifth of them is kept for calibration.
-    Without usable rows the models know no language, and every text is ``und``.
+    Without usable rows the models know no language, and every text is ``und``.  What reaches the
+    driver are the distinct n-grams of that sample, counted on the executors: ``rows`` bounds them.
     """
     spark = docs.sparkSession
     labelled = docs.where(usable).where(F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("t"), F.xxhash64(F.col(id_col), F.lit(9)).alias("place"))
@@ -281,7 +280,7 @@ def identify(df: DataFrame, models: Models, text_col: str = "text", keep: tuple[
     Texts that are null or have no letter are ``und`` with score 0, a null entropy, not accepted.  The
     text alone decides, so ties and repeated rows come out alike.
     """
-    shared = df.sparkSession.sparkContext.broadcast(models)  # bounded by MOST_GRAMS and the number of languages
+    shared = df.sparkSession.sparkContext.broadcast(models)  # bounded by the distinct n-grams of the training rows
     source = df.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.col(text_col).alias("t"))
     schema = ", ".join([f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep] + ["lang_pred string, score double, entropy double, accepted boolean"])
 
