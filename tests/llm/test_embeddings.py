@@ -53,6 +53,25 @@ def test_against_brute_force(spark, rows, block, monkeypatch):
     assert sorted(((r.id, r.n_links, r.component_id) for r in got.collect()), key=str) == want
 
 
+def test_huge_and_tiny_components(spark):
+    rows = [(1, [1e200, 1e200], 0), (2, [2e200, 2e200], 0), (3, [1e-200, 1e-200], 0), (4, [1e308, -1e308], 0), (5, [5e-324, 0.0], 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r.id: (r.n_links, r.component_id) for r in embeddings.near_duplicate_vectors(df).collect()}
+    assert got == {1: (2, 1), 2: (2, 1), 3: (2, 1), 4: (0, 4), 5: (0, 5)}
+
+
+def test_marks_rule_out_nothing_at_the_threshold():
+    rng = np.random.default_rng(5)
+    a = rng.standard_normal((4000, 24))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b = rng.standard_normal((4000, 24))
+    b -= (a * b).sum(axis=1, keepdims=True) * a
+    b = 0.98 * a + (1 - 0.98**2) ** 0.5 * b / np.linalg.norm(b, axis=1, keepdims=True)
+    marks = [embeddings.signatures(x, 8, 2)[1] for x in (a, b)]
+    apart = np.bitwise_count(marks[0] ^ marks[1]).sum(axis=1)
+    assert apart.max() <= embeddings.most_apart(0.98, 1e-8) < 40 and apart.mean() < 12
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
     assert embeddings.near_duplicate_vectors(df).count() == 0
