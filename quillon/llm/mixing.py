@@ -116,15 +116,19 @@ def plan(
     most: int = MOST_REPEATS,
     seed: int = 11,
     cells: int = 65536,
+    fill: int = FILL,
 ) -> tuple[DataFrame, dict]:
-    """``pattern, cuts, more``: for each repetition the last place that is taken, and single places after it; and ``{source: (size, target)}``.
+    """``pattern, cuts, more``: for each repetition the last place that is taken, and places after it; and ``{source: (size, target)}``.
 
     ``sources`` is an array of the sources that a row belongs to; a null one is a source of its own
-    and sorts last.  A pattern's words are met from below: whole documents up to a cut, then those of
-    the next ``FILL`` that fit what is missing.  Documents of a pattern follow a seeded hash of the
-    id, so reruns agree; equal ids follow by size.  An empty table gives an empty plan.  The driver
-    holds a few numbers and at most ``FILL`` places a repetition for each pattern, and about ``cells``
-    sums, whatever the number of documents; only rows of cells at a cut are ever sorted.
+    and sorts last.  A pattern's words are met from below, but for one last document that comes nearer: whole
+    documents up to a cut, then those of
+    the next ``fill`` places that fit what is missing: a larger ``fill`` comes nearer to the target, and
+    drops nothing.  Documents of a pattern follow a seeded hash of the id, so reruns agree; equal ids
+    follow by size.  Rows that agree in both have one place, which is counted as one: of such a place
+    after a cut as many rows are taken as fit.  An empty table gives an empty plan.  The driver holds a
+    few numbers and at most ``fill`` places a repetition for each pattern, and about ``cells`` sums,
+    whatever the number of documents; only rows of cells at a cut are ever sorted.
     """
     spark = df.sparkSession
     base = materialize(_keyed(df, sources, size, id_col, seed).select("mx.*"), "mix-base")
@@ -144,7 +148,7 @@ def plan(
     bits = max(1, min(12, (cells // max(1, len(sums))).bit_length() - 1))
     celled = base.where("size > 0").withColumn("cell", F.shiftright(F.col("place.h"), 62 - bits).cast("int"))
     cell_sums: dict[tuple, list[tuple[int, int, int]]] = {}
-    for r in celled.groupBy("pattern", "cell").agg(F.sum("size").alias("n"), F.count("*").alias("k")).collect():
+    for r in celled.groupBy("pattern", "cell").agg(F.sum("size").alias("n"), F.count_distinct("place").alias("k")).collect():
         cell_sums.setdefault(key(r.pattern), []).append((r.cell, r.n, r.k))
 
     # The cell in which each repetition ends, and those after it with the next FILL rows; a whole
@@ -162,7 +166,7 @@ def plan(
                     if rows is None and run + n >= rest:
                         asked.append((list(p), c, r, rest - run, True))
                         rows = 0
-                    elif rows is not None and rows < FILL:
+                    elif rows is not None and rows < fill:
                         asked.append((list(p), c, r, 0, False))
                         rows += k
                     run += n
@@ -170,6 +174,7 @@ def plan(
         table = spark.createDataFrame(asked, "a_pattern array<string>, a_cell int, r int, rest long, ends boolean")
         order = Window.partitionBy("pattern", "cell", "r").orderBy("place")
         at = celled.join(_small(table), F.col("pattern").eqNullSafe(F.col("a_pattern")) & (F.col("cell") == F.col("a_cell")))
+        at = at.groupBy("pattern", "cell", "r", "rest", "ends", "place").agg(F.sum("size").alias("size"), F.count("*").alias("k"))
         at = at.withColumn("upto", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
         at = at.withColumn("inside", F.col("ends") & (F.col("upto") <= F.col("rest")))
         taken = at.where("ends").groupBy("pattern", "r", "cell", "rest").agg(F.max(F.when(F.col("inside"), F.col("place"))).alias("cut"), F.max(F.when(F.col("inside"), F.col("upto"))).alias("upto"))
@@ -178,17 +183,26 @@ def plan(
             # No place of the cell is taken: the cut lies before the cell.
             cuts[key(e.pattern)][e.r] = tuple(e.cut) if e.cut else ((e.cell << (62 - bits)) - 1, None, None)
             left[key(e.pattern), e.r] = e.rest - (e.upto or 0)
-        # What is still missing is filled by the next documents of the order that fit.
+        # What is still missing is filled by the next places of the order that fit, then by the one
+        # further document that comes nearest, if it leaves less over than there was missing.
+        skipped: dict[tuple, list] = {}
         ahead = Window.partitionBy("pattern", "r").orderBy("place")
-        after = at.where(~F.col("inside")).withColumn("nth", F.row_number().over(ahead)).where(F.col("nth") <= FILL)
-        for e in after.orderBy("r", "nth").select("pattern", "r", "place").collect():
+        after = at.where(~F.col("inside")).withColumn("nth", F.row_number().over(ahead)).where(F.col("nth") <= fill)
+        for e in after.orderBy("r", "nth").select("pattern", "r", "place", "k").collect():
             p = key(e.pattern)
-            if e.place.size <= left[p, e.r]:
-                left[p, e.r] -= e.place.size
-                more[p][e.r].append(tuple(e.place))
+            fits = min(e.k, left[p, e.r] // e.place.size)
+            if fits:
+                left[p, e.r] -= fits * e.place.size
+                more[p][e.r].append((tuple(e.place), fits, e.k))
+            else:
+                skipped.setdefault((p, e.r), []).append((e.place.size, tuple(e.place), e.k))
+        for (p, r), others in skipped.items():
+            over, place, k = min(others, key=lambda x: x[0])
+            if over < 2 * left[p, r]:
+                more[p][r].append((place, 1, k))
     rows = [(list(p), cuts[p], [x for part in more[p] for x in part]) for p in sums]
     place = "struct<h:bigint,id:bigint,size:bigint>"
-    return spark.createDataFrame(rows, f"pattern array<string>, cuts array<{place}>, more array<{place}>"), {s: (by_source[s], goal[s]) for s in goal}
+    return spark.createDataFrame(rows, f"pattern array<string>, cuts array<{place}>, more array<struct<place:{place},takes:bigint,of:bigint>>"), {s: (by_source[s], goal[s]) for s in goal}
 
 
 def _small(table: DataFrame) -> DataFrame:
@@ -200,9 +214,19 @@ def apply(df: DataFrame, cuts: DataFrame, sources: Column, size: Column, id_col:
     """``df`` with ``mx`` (pattern, size, place) and ``copies``: how often the mix takes the whole document, 0 to 3.
 
     Rows are judged alone against the cuts of their pattern, which are as few as the patterns; no row
-    is shuffled.  Empty documents are never taken; repeated rows are taken alike.
+    is shuffled but those of the few places that are taken in part, whose rows are numbered by a hash.
+    Empty documents are never taken.  Columns named ``mx`` and ``copies`` are replaced.
     """
+    kept = [c for c in df.columns if c not in ("mx", "copies")]
     table = cuts.select(F.col("pattern").alias("mx_pattern"), F.col("cuts").alias("mx_cuts"), F.col("more").alias("mx_more"))
-    keyed = _keyed(df, sources, size, id_col, seed).join(_small(table), F.col("mx.pattern").eqNullSafe(F.col("mx_pattern")), "left")
-    taken = F.size(F.filter("mx_cuts", lambda c: c.isNotNull() & (F.col("mx.place") <= c))) + F.size(F.filter("mx_more", lambda c: F.col("mx.place") == c))
-    return keyed.withColumn("copies", F.when((F.col("mx.size") > 0) & F.col("mx_cuts").isNotNull(), taken).otherwise(0)).drop("mx_pattern", "mx_cuts", "mx_more")
+    keyed = _keyed(df.drop("mx", "copies"), sources, size, id_col, seed).join(_small(table), F.col("mx.pattern").eqNullSafe(F.col("mx_pattern")), "left")
+    nth = F.lit(0).cast("long")
+    if cuts.where(F.exists("more", lambda m: m["takes"] < m["of"])).limit(1).count():
+        part = F.coalesce(F.exists("mx_more", lambda m: (m["place"] == F.col("mx.place")) & (m["takes"] < m["of"])), F.lit(False))
+        same = Window.partitionBy("mx.pattern", "mx.place").orderBy(F.xxhash64(*kept))
+        keyed = keyed.where(~part).withColumn("mx_nth", nth).union(keyed.where(part).withColumn("mx_nth", F.row_number().over(same).cast("long")))
+    else:
+        keyed = keyed.withColumn("mx_nth", nth)
+    taken = F.size(F.filter("mx_cuts", lambda c: c.isNotNull() & (F.col("mx.place") <= c))) + F.size(F.filter("mx_more", lambda m: (F.col("mx.place") == m["place"]) & (F.col("mx_nth") <= m["takes"])))
+    copies = F.when((F.col("mx.size") > 0) & F.col("mx_cuts").isNotNull(), taken).otherwise(0)
+    return keyed.withColumn("copies", copies).drop("mx_pattern", "mx_cuts", "mx_more", "mx_nth")
