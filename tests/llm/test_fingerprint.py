@@ -70,9 +70,9 @@ def test_successors(spark, keys):
     from pyspark.sql import Window
 
     df = spark.createDataFrame([(k,) for k in keys], "k long")
-    placed = neighbours.with_guests(df, F.col("k"), rows_per_bucket=8)
+    placed = neighbours.with_guests(df, F.col("k"), F.col("k"), rows_per_bucket=8)
     falling = Window.partitionBy("nb_bucket").orderBy("nb_guest", F.desc("nb_key"))
-    got = placed.withColumn("next", F.lead("nb_key").over(falling)).where("nb_guest = 0").collect()
+    got = placed.withColumn("next", F.lead("nb_key.k").over(falling)).where("nb_guest = 0").withColumn("nb_key", F.col("nb_key.k")).collect()
     order = sorted((neighbours.LOWEST if k is None else k for k in keys), reverse=True)
     assert sorted((r.nb_key, r.next) for r in got) == sorted(zip(order, order[1:] + order[:1]))
 
@@ -124,3 +124,11 @@ def test_likeness_of_long_texts(spark):
         pairs += [(own, other), (own, own[: n // 3] + other[n // 3 :])]
     got = _held_against_overlap(spark, pairs)
     assert all(got[i] < 0.6 for i in range(0, len(pairs), 2))
+
+
+def test_null_ids_spread_over_buckets(spark):
+    df = spark.range(200_000).select(F.when(F.col("id") % 50 == 0, F.col("id")).alias("k"), F.concat(F.lit("text "), F.col("id")).alias("text"))
+    sizes = [r["count"] for r in neighbours.with_guests(df, F.col("k"), F.col("text"), rows_per_bucket=2000).where("nb_guest = 0").groupBy("nb_bucket").count().collect()]
+    assert sum(sizes) == 200_000 and len(sizes) > 50 and max(sizes) <= 2.5 * 2000
+    same = spark.range(20_000).select(F.lit(None).cast("long").alias("k"), F.lit("x").alias("text"))  # rows that agree in all
+    assert neighbours.with_guests(same, F.col("k"), F.col("text")).where("nb_guest = 0").count() == 20_000
