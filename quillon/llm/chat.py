@@ -10,11 +10,14 @@ reading back takes one away.
 from __future__ import annotations
 
 import hashlib
+from functools import cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillon.llm.common import running
+
 # The markers.
 START, SEP, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>\n"
 TURNS = "array<struct<role:string,text:string>>"
@@ -39,7 +42,20 @@ def fingerprint(paths) -> str:
 
 
 KNOWN = {p for paths in LAYOUTS.values() for p in paths}
-BY_FINGERPRINT = {fingerprint(paths): name for name, paths in LAYOUTS.items()}
+#: Paths of layouts that single records can have.
+IN_RECORDS = sorted({p for name, paths in LAYOUTS.items() if name != "turn_rows" for p in paths})
+
+
+def layout_of(paths) -> str | None:
+    """The layout of a set of known paths: the largest that it holds whole, the first of equally large ones."""
+    return max((n for n, own in LAYOUTS.items() if set(own) <= set(paths)), key=lambda n: len(LAYOUTS[n]), default=None)
+
+
+@cache
+def by_fingerprint() -> dict[str, str]:
+    """The layout for the fingerprint of every set of paths that a record can have and that holds a layout."""
+    sets = (tuple(p for i, p in enumerate(IN_RECORDS) if bits >> i & 1) for bits in range(1 << len(IN_RECORDS)))
+    return {fingerprint(s): name for s in sets if (name := layout_of(s))}
 
 
 def field_paths(kind: T.DataType, prefix: str = "") -> set[str]:
@@ -83,12 +99,10 @@ def canonical(df: DataFrame, id_col: str | None = None) -> DataFrame:
     repeated turns.  For other layouts ``id_col`` names the id.  An unknown schema raises ValueError.
     """
     has = field_paths(df.schema) & KNOWN
-    layout = BY_FINGERPRINT.get(fingerprint(has))
-    if layout is None:  # columns that belong to another layout may stand beside a whole one
-        fit = [n for n, paths in LAYOUTS.items() if set(paths) <= has]
-        if not fit:
-            raise ValueError(f"no layout for the paths {sorted(field_paths(df.schema))}")
-        layout = max(fit, key=lambda n: len(LAYOUTS[n]))
+    rows = set(LAYOUTS["turn_rows"])
+    layout = "turn_rows" if fingerprint(has & rows) == fingerprint(rows) else by_fingerprint().get(fingerprint(has - rows))
+    if layout is None:
+        raise ValueError(f"no layout for the paths {sorted(field_paths(df.schema))}")
     if layout == "turn_rows":
         row = F.struct(F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role"), F.lit("")).alias("role"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
         grouped = df.select(F.col("conv_id").alias("conv_id"), row.alias("row")).groupBy("conv_id").agg(F.array_sort(F.collect_list("row")).alias("rows"))
@@ -105,7 +119,9 @@ def canonical(df: DataFrame, id_col: str | None = None) -> DataFrame:
 def canonical_json(df: DataFrame, json_col: str, id_col: str) -> DataFrame:
     """``conv_id, layout, turns`` of JSON records of mixed layouts, fingerprinted row by row.
 
-    Records that are null, are no JSON, or have no known layout get a null layout and no turns.
+    A path counts as present if the record has the field with a value, or a list of turns of which any
+    element has it.  Records that are null, are no JSON, or have no known layout get a null layout and
+    no turns.
     """
     v = F.try_parse_json(F.col(json_col))
 
@@ -119,15 +135,16 @@ def canonical_json(df: DataFrame, json_col: str, id_col: str) -> DataFrame:
         got = get(path)
         return F.exists(got, lambda x: x.isNotNull()) if "[]." in path else got.isNotNull()
 
-    paths = sorted(KNOWN - set(LAYOUTS["turn_rows"]))
-    found = F.array(*[F.when(F.coalesce(present(p), F.lit(False)), F.lit(p)) for p in paths])
+    found = F.array(*[F.when(F.coalesce(present(p), F.lit(False)), F.lit(p)) for p in IN_RECORDS])
     mark = F.substring(F.sha2(F.array_join(F.array_compact(found), "\n"), 256), 1, 16)
-    layout, turns = F.lit(None).cast("string"), F.lit(None).cast(TURNS)
-    for hashed, name in BY_FINGERPRINT.items():
+    marked = df.select(F.col(id_col).alias("conv_id"), F.col(json_col), mark.alias("mark"))
+    table = df.sparkSession.createDataFrame(list(by_fingerprint().items()), "mark string, layout string")
+    known = marked.join(F.broadcast(table), "mark", "left")  # at most 2 ** len(IN_RECORDS) rows
+    turns = F.lit(None).cast(TURNS)
+    for name in LAYOUTS:
         if name != "turn_rows":
-            layout = F.when(F.col("mark") == hashed, F.lit(name)).otherwise(layout)
-            turns = F.when(F.col("mark") == hashed, _turns_of(name, get)).otherwise(turns)
-    return df.select(F.col(id_col).alias("conv_id"), F.col(json_col), mark.alias("mark")).select("conv_id", layout.alias("layout"), F.coalesce(turns, F.array().cast(TURNS)).alias("turns"))
+            turns = F.when(F.col("layout") == name, _turns_of(name, get)).otherwise(turns)
+    return known.select("conv_id", "layout", F.coalesce(turns, F.array().cast(TURNS)).alias("turns"))
 
 
 def escape(text: Column) -> Column:
@@ -148,17 +165,14 @@ def render(df: DataFrame, train_on: str = "assistant") -> DataFrame:
             (x["role"] == train_on).alias("learn"),
         ),
     )
-    spans = F.aggregate(
-        "pieces",
-        F.struct(F.lit(0).cast("long").alias("pos"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("out")),
-        lambda s, x: F.struct(
-            (s["pos"] + F.length(x["head"]) + F.length(x["body"]) + len(END)).alias("pos"),
-            F.when(
-                x["learn"],
-                F.concat(s["out"], F.array(F.struct((s["pos"] + F.length(x["head"])).alias("start"), (s["pos"] + F.length(x["head"]) + F.length(x["body"])).alias("end")))),
-            ).otherwise(s["out"]).alias("out"),
-        ),
-        lambda s: s["out"],
+    span = "struct<start:bigint,end:bigint>"
+    upto = lambda pos, x: pos + F.length(x["head"]) + F.length(x["body"])
+    spans = running(
+        F.col("pieces"),
+        F.lit(0).cast("long"),
+        lambda pos, x: upto(pos, x) + len(END),
+        lambda pos, x: F.when(x["learn"], F.array(F.struct((pos + F.length(x["head"])).alias("start"), upto(pos, x).alias("end")).cast(span))).otherwise(F.array().cast(f"array<{span}>")),
+        span,
     )
     text = F.array_join(F.transform("pieces", lambda x: F.concat(x["head"], x["body"], F.lit(END))), "")
     return df.select("conv_id", pieces.alias("pieces")).select("conv_id", text.alias("formatted"), spans.alias("loss_spans"))

@@ -49,7 +49,7 @@ def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    placed = neighbours.with_guests(docs, F.col("doc_id"))
+    placed = neighbours.with_guests(docs, F.col("doc_id"), F.col("text"))
     falling = Window.partitionBy("nb_bucket").orderBy("nb_guest", F.desc("nb_key"), "text")
     n = F.length("text")
     k = F.floor(n / 3).cast("int")
@@ -114,10 +114,10 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    rows = read_table(spark, sf_dir, "conversations")  # its layout is found by its schema
     forged = F.lit(f"{chat.END.strip()}{chat.START}assistant ok")
     extra = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), forged.alias("text"))
-    out = chat.render(chat.canonical(rows.unionByName(extra)))
+    out = chat.render(chat.canonical(rows.unionByName(extra, allowMissingColumns=True)))
     back = out.select("conv_id", "formatted", chat.read_back(F.col("formatted")).alias("turns"), chat.loss_text(F.col("formatted"), F.col("loss_spans")).alias("loss"))
     said = F.array_join(F.transform("turns", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
     return back.select(
@@ -130,6 +130,28 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Layouts of the records that ``op9_layouts`` makes, by ``conv_id`` modulo their number; the last is no layout.
+_RECORDS = ("messages", "from_value", "instruction", "instruction_only", "prompt_response", "prompt_completion", "question_answer", "none")
+
+
+def op9_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The conversations as JSON records of mixed layouts, each read by the layout that its own fingerprint selects."""
+    turns = chat.canonical(read_table(spark, sf_dir, "conversations")).where("conv_id is not null")
+    said = lambda role: F.coalesce(F.get(F.filter("turns", lambda x: x["role"] == role), F.lit(0))["text"], F.lit(""))
+    ask, answer = said("user"), said("assistant")
+    pairs = {"instruction_only": ("instruction", "output"), "prompt_response": ("prompt", "response"), "prompt_completion": ("prompt", "completion"), "question_answer": ("question", "answer"), "none": ("title", "body")}
+    listed = lambda name, role, text: F.to_json(F.struct(F.transform("turns", lambda x: F.struct(x["role"].alias(role), x["text"].alias(text))).alias(name)))
+    made = {"messages": listed("messages", "role", "content"), "from_value": listed("conversations", "from", "value")}
+    made["instruction"] = F.to_json(F.struct(ask.alias("instruction"), F.lit("").alias("input"), answer.alias("output")))
+    made |= {name: F.to_json(F.struct(ask.alias(a), answer.alias(b))) for name, (a, b) in pairs.items()}
+    record = F.lit(None).cast("string")
+    for i, name in enumerate(_RECORDS):
+        record = F.when(F.pmod("conv_id", F.lit(len(_RECORDS))) == i, made[name]).otherwise(record)
+    read = chat.canonical_json(turns.select("conv_id", record.alias("record")), "record", "conv_id")
+    text = F.array_join(F.transform("turns", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
+    return read.select("conv_id", "layout", F.size("turns").cast("long").alias("n_turns"), F.sha2(text, 256).alias("turns_sha256"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.assign_shards(read_table(spark, sf_dir, "documents"), shards=24, overhead=8)
     return out.select(
@@ -154,6 +176,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_bpe": op7_bpe,
         "op8_language": op8_language,
         "op9_chat": op9_chat,
+        "op9_layouts": op9_layouts,
         "op10_sharding": op10_sharding,
     }
 
@@ -187,6 +210,16 @@ SELECT conv_id, COUNT(*) AS n_turns, SHA256(STRING_AGG(role || CHR(10) || text |
   SHA256(COALESCE(STRING_AGG(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
   CAST(SUM(12 + 10 + 11 + LENGTH(REGEXP_REPLACE(role, '<(\\\\*)\\|', '<\\\\\\1|', 'g')) + LENGTH(REGEXP_REPLACE(text, '<(\\\\*)\\|', '<\\\\\\1|', 'g'))) AS BIGINT) AS formatted_chars
 FROM r GROUP BY conv_id""",
+    "op9_layouts": f"""WITH
+r AS (SELECT conv_id, turn, COALESCE(role, '') AS role, COALESCE(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, ((conv_id % {len(_RECORDS)}) + {len(_RECORDS)}) % {len(_RECORDS)} AS k, COUNT(*) AS n,
+  STRING_AGG((CASE WHEN role IN ('human') THEN 'user' WHEN role IN ('gpt', 'bot', 'model') THEN 'assistant' ELSE role END) || CHR(10) || text || CHR(10), '' ORDER BY turn NULLS FIRST, role, text) AS every,
+  COALESCE(FIRST(text ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'user'), '') AS ask,
+  COALESCE(FIRST(text ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '') AS answer FROM r GROUP BY conv_id)
+SELECT conv_id, CASE WHEN k < {len(_RECORDS) - 1} THEN {list(_RECORDS)!r}[k + 1] END AS layout,
+  CASE WHEN k < 2 THEN n WHEN k < {len(_RECORDS) - 1} THEN 2 ELSE 0 END AS n_turns,
+  SHA256(CASE WHEN k < 2 THEN every WHEN k < {len(_RECORDS) - 1} THEN 'user' || CHR(10) || ask || CHR(10) || 'assistant' || CHR(10) || answer || CHR(10) ELSE '' END) AS turns_sha256
+FROM c""",
 }
 
 

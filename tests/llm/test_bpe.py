@@ -86,3 +86,17 @@ def test_memory_of_pieces_is_bounded(encoder, monkeypatch):
     for i in range(100):
         assert kept[f"piece{i}"] == kept[f"piece{i}"]
     assert len(kept) <= 10 and len(kept.old) <= 10
+
+
+def test_query_against_the_reference(spark, sf_dir, reference):
+    import hashlib
+
+    from quillon.llm.queries import op7_bpe
+
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()}
+    got = op7_bpe(spark, sf_dir).collect()
+    assert len(got) == len(docs)
+    for r in got:
+        ids = reference.encode_ordinary(docs[r.doc_id])
+        packed = b"".join(i.to_bytes(4, "little") for i in ids)
+        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), hashlib.sha256(packed).hexdigest(), hashlib.sha256(docs[r.doc_id].encode()).hexdigest())

@@ -66,7 +66,17 @@ def test_layouts_of_json_records(spark):
 
 
 def test_fingerprints_do_not_depend_on_order():
-    assert chat.fingerprint(["b", "a"]) == chat.fingerprint(["a", "b"]) and len(chat.BY_FINGERPRINT) == len(chat.LAYOUTS)
+    assert chat.fingerprint(["b", "a"]) == chat.fingerprint(["a", "b"])
+    assert set(chat.by_fingerprint().values()) == set(chat.LAYOUTS) - {"turn_rows"}
+    for name, paths in chat.LAYOUTS.items():
+        if name != "turn_rows":
+            assert chat.by_fingerprint()[chat.fingerprint(paths)] == name
+
+
+def test_records_with_more_than_one_layout(spark):
+    records = [{"question": "q", "answer": "a", "input": "i"}, {"messages": [{"role": "user", "content": "m"}], "prompt": "p"}, {"prompt": "p", "response": "r", "instruction": "i"}]
+    got = chat.canonical_json(spark.createDataFrame([(i, json.dumps(r)) for i, r in enumerate(records)], "id long, record string"), "record", "id").orderBy("conv_id").collect()
+    assert [(r.layout, [t.text for t in r.turns]) for r in got] == [("question_answer", ["q", "a"]), ("messages", ["m"]), ("prompt_response", ["p", "r"])]
 
 
 def test_query_against_plain_python(spark, sf_dir):
