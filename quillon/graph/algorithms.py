@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.graph.bsp import Program, run
+from quillon.graph.bsp import Program, run, run_python
 
 #: Fixed value: the distance of a vertex that is not reached.
 UNREACHED = 1.7976931348623157e308
@@ -152,12 +152,24 @@ def _maximal(near: dict[int, set[int]]) -> Iterator[frozenset[int]]:
 
 
 def mutate(vertices: DataFrame) -> DataFrame:
-    """``id, value``: vertices below 100 divisible by 2 or 3 go, the others add one of a hundred times their id; 1900 goes later."""
-    small, even = F.col("id") < 100, (F.col("id") % 2 == 0) | (F.col("id") % 3 == 0)
-    kept = vertices.where(~(small & even))
-    added = kept.where(small).select((F.col("id") * 100).alias("id"), "value")
-    grown = kept.select("id", "value").union(added.join(kept.select("id"), "id", "left_anti"))
-    return grown.where("id <> 1900")
+    """``id, value``: vertices below 100 divisible by 2 or 3 go, the others add one of a hundred times their id and send to it.
+
+    Who is sent to runs once more, and 1900 deletes itself then: it stays if there is no vertex 19.
+    """
+
+    def compute(vertex, messages):
+        if vertex.superstep == 1:
+            if vertex.id < 100 and (vertex.id % 2 == 0 or vertex.id % 3 == 0):
+                vertex.delete_vertex(vertex.id)
+            elif vertex.id < 100:
+                vertex.add_vertex(100 * vertex.id, vertex.value)
+                vertex.send(100 * vertex.id, 0.0)
+        elif vertex.id == 1900:
+            vertex.delete_vertex(vertex.id)
+        vertex.vote_to_halt()
+
+    none = vertices.select(F.col("id").alias("src"), F.col("id").alias("dst")).limit(0)
+    return run_python(vertices, none, compute)
 
 
 def max_id(vertices: DataFrame) -> DataFrame:

@@ -90,6 +90,8 @@ def test_largest_cliques(graph):
 def test_mutation(spark):
     v = spark.range(20).select("id", F.lit(0.0).alias("value"))
     assert sorted(_values(A.mutate(v))) == [1, 5, 7, 11, 13, 17, 19, 100, 500, 700, 1100, 1300, 1700]
+    without = spark.createDataFrame([(7, 1.0), (1900, 2.0)], "id long, value double")
+    assert _values(A.mutate(without)) == {7: 1.0, 700: 1.0, 1900: 2.0}
 
 
 def test_message_counts(graph):
