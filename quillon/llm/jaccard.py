@@ -45,7 +45,7 @@ FREQUENT = 32
 DENSE = 64
 #: Shingles and classes of a chunk, about; larger neighbourhoods are cut.  A block is at most two chunks, so it compares at most about CLASSES**2 pairs.
 BLOCK = 2_000_000
-CLASSES = 1024
+CLASSES = 256
 #: Rows up to which a list of documents is broadcast (about 100 bytes a row); longer lists are joined by shuffle.
 BROADCAST_ROWS = 300_000
 
@@ -402,16 +402,18 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     def verified(blocks: DataFrame, roots: DataFrame | None) -> DataFrame:
         blocks = materialize(blocks, "jaccard-blocks")
-        ends = blocks.select(F.col("a").alias("gid"), "block", "ca", "cb").union(blocks.where("b is not null").select("b", "block", "ca", "cb"))
-        inside = ends.select("gid", "block", F.explode(F.array("ca", "cb")).alias("chunk")).distinct().join(placed, ["gid", "chunk"]).dropDuplicates(["block", "sig"])
+        ends = blocks.select(F.col("a").alias("gid"), "block", "ca", "cb").union(blocks.where("b is not null").select("b", "block", "ca", "cb")).distinct()
+        inside = ends.select("gid", "block", F.col("ca").alias("chunk")).union(ends.where("ca <> cb").select("gid", "block", "cb")).distinct().join(placed, ["gid", "chunk"]).dropDuplicates(["block", "sig"])
         inside = inside.join(roots, "sig", "left") if roots is not None else inside.withColumn("root", F.col("sig"))
         brought = inside.join(sets, "sig").select((F.col("block") + 0).alias("block"), "gid", "sig", F.coalesce("root", "sig").alias("root"), "s")
         return materialize(brought.groupBy("block").cogroup(blocks.drop("ca", "cb").groupBy("block")).applyInArrow(_verify(percent), "a binary, b binary"), "jaccard-links")
 
-    start = spread.join(first, "token").withColumn("other", F.explode(F.array_distinct(F.array("chunk", "pivot")))).drop("pivot")
-    # The pivot's own groups also meet the other chunks.
-    back = spread.join(first, (spread["token"] == first["token"]) & (F.col("chunk") == F.col("pivot"))).drop(first["token"]).drop("pivot").join(_small(several), "token", "left_semi").join(reached, "token").where("other <> chunk")
-    linked = verified(paired.union(meetings(start)).union(meetings(back.select(*start.columns))), None)
+    # Each chunk of a hub meets itself and the pivot, and the pivot's groups meet all other chunks.
+    own = spread.withColumn("other", F.col("chunk"))
+    split = spread.join(_small(several), "token", "left_semi").join(first, "token")
+    there = split.where("chunk <> pivot").withColumnRenamed("pivot", "other")
+    back = split.where("chunk = pivot").drop("pivot").join(reached, "token").where("other <> chunk")
+    linked = verified(paired.union(meetings(own)).union(meetings(there.select(*own.columns))).union(meetings(back.select(*own.columns))), None)
     comp = connected_components(linked)
     if several.limit(1).count():
         # Hubs over several chunks whose classes are still in several components let all their chunks meet.
@@ -420,7 +422,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         open_ = materialize(of.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("token"), "jaccard-open")
         if open_.limit(1).count():
             rest = spread.join(_small(open_), "token", "left_semi").join(reached, "token").join(first, "token").where("chunk <> other and chunk <> pivot and other <> pivot").drop("pivot")
-            more = verified(meetings(rest.select(*start.columns)), rooted)
+            more = verified(meetings(rest.select(*own.columns)), rooted)
             comp = connected_components(linked.union(more))
 
     reach = comp.select(F.col("node").alias("sig"), "root").join(classes.select("sig", "first_id"), "sig")
