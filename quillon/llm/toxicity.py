@@ -25,6 +25,7 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import ahocorasick
 import numpy as np
@@ -264,12 +265,12 @@ def _one_of_each(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(frugal(run), "t string, y int, least long").groupBy("least").agg(F.max_by("t", F.struct("y", "t")).alias("t"), F.max("y").alias("y")).select("t", "y")
 
 
-def term_counts(text: str) -> dict[str, int]:
+def term_counts(text: str, of=terms) -> dict[str, int]:
     """How often each term comes in a text, on a scale of doublings (1, 2-3, 4-7, ...), so that one text that repeats itself cannot decide; "" stands for all words."""
-    found: Counter = Counter()
+    found: dict[str, int] = {"": 0}
     for w, times in Counter(_WORD.findall(text.lower())).items():
-        for x in terms(w):
-            found[x] += times
+        for x in of(w):
+            found[x] = found.get(x, 0) + times
         found[""] += times.bit_length()
     return {x: times if x == "" else times.bit_length() for x, times in found.items()}
 
@@ -279,12 +280,13 @@ def _term_counts(rows: DataFrame, only=None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, k = Counter(), Counter()
-        known = None if only is None else only.value
+        of = terms
+        if only is not None:
+            known = only.value
+            of = lru_cache(200_000)(lambda w: [x for x in terms(w) if x in known])  # a memory only
         for batch in batches:
             for t in batch.column("t"):
-                found = term_counts(t.as_py())
-                if known is not None:
-                    found = {x: found[x] for x in found.keys() & known}
+                found = term_counts(t.as_py(), of)
                 n.update(found.keys())
                 k.update(found)
             if len(n) > 1_000_000:
