@@ -49,8 +49,13 @@ def _draw(b: Column, lane: Column) -> Column:
 
 def vector(text: Column, separator: str = PARAGRAPH) -> Column:
     """The fingerprint of a text as an array of ``WIDTH`` longs."""
+    return vector_of(paragraphs(text, separator))
+
+
+def vector_of(paragraphs: Column) -> Column:
+    """The fingerprint of an array of paragraphs."""
     # One strong hash a paragraph; the lanes expand it.
-    hashed = F.transform(paragraphs(text, separator), lambda p: F.sha2(p, 256))
+    hashed = F.transform(paragraphs, lambda p: F.sha2(p, 256))
     dense = F.aggregate(
         hashed,
         F.array_repeat(F.lit(0).cast("long"), EQUAL),
@@ -104,3 +109,19 @@ def fingerprints(df: DataFrame, text_col: str = "text", out_col: str = "fingerpr
     named ``out_col`` is replaced.
     """
     return df.withColumn(out_col, vector(F.col(text_col)))
+
+
+def fingerprints_of_edit(df: DataFrame, text_col: str, edited_col: str, out_col: str, edited_out_col: str) -> DataFrame:
+    """``df`` with the fingerprints of a text and of its edited version.
+
+    The sum is homomorphic: the paragraphs with which both begin are hashed once, and each text adds
+    its own.  Nulls count as empty.  Columns of the given names and ``fp_own, fp_new, fp_same, fp_both``
+    are replaced.
+    """
+    split = df.withColumn("fp_own", paragraphs(F.col(text_col))).withColumn("fp_new", paragraphs(F.col(edited_col)))
+    first = F.array_position(F.zip_with("fp_own", "fp_new", lambda a, b: a.eqNullSafe(b)), False)  # the shorter one is filled with nulls
+    split = split.withColumn("fp_same", F.when(first > 0, first - 1).otherwise(F.size("fp_own")).cast("int"))
+    both = split.withColumn("fp_both", vector_of(F.slice("fp_own", F.lit(1), F.col("fp_same"))))
+    rest = lambda c: vector_of(F.slice(c, F.col("fp_same") + 1, F.greatest(F.size(c) - F.col("fp_same"), F.lit(0))))
+    out = both.withColumn(out_col, combine(F.col("fp_both"), rest("fp_own"))).withColumn(edited_out_col, combine(F.col("fp_both"), rest("fp_new")))
+    return out.drop("fp_own", "fp_new", "fp_same", "fp_both")

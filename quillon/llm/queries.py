@@ -61,9 +61,8 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
         "text",
         F.concat(F.substr("text", F.lit(1), n - k), F.substr(F.lead("text").over(falling), F.lit(1), k)).alias("edited"),
     )
-    marked = fingerprint.fingerprints(edited, "text", "fp")
     # Guests have no successor here and are dropped; their fingerprints serve the rows before them.
-    marked = fingerprint.fingerprints(marked, "edited", "edited_fp").withColumn("next_fp", F.lead("fp").over(falling)).where("nb_guest = 0")
+    marked = fingerprint.fingerprints_of_edit(edited, "text", "edited", "fp", "edited_fp").withColumn("next_fp", F.lead("fp").over(falling)).where("nb_guest = 0")
     return marked.select(
         "doc_id",
         F.length("text").cast("long").alias("n_chars"),

@@ -132,3 +132,10 @@ def test_null_ids_spread_over_buckets(spark):
     assert sum(sizes) == 200_000 and len(sizes) > 50 and max(sizes) <= 2.5 * 2000
     same = spark.range(20_000).select(F.lit(None).cast("long").alias("k"), F.lit("x").alias("text"))  # rows that agree in all
     assert neighbours.with_guests(same, F.col("k"), F.col("text")).where("nb_guest = 0").count() == 20_000
+
+
+def test_an_edit_hashes_what_is_shared_once(spark):
+    rows = [("a\nb\nc", "a\nb\nd"), ("a\nb", "a\nb"), ("a", "a\nb"), ("a\nb", "a"), ("", "x"), ("x", ""), (None, None), (None, "a"), ("x\ny", "y\nx"), ("One. Two. Thr", "One. Two. Xyz. Z")]
+    df = spark.createDataFrame(rows, "text string, edited string").withColumn("fp_own", F.lit(1))
+    for r in fp.fingerprints_of_edit(df, "text", "edited", "a", "b").withColumn("x", fp.vector(F.col("text"))).withColumn("y", fp.vector(F.col("edited"))).collect():
+        assert (r.a, r.b) == (r.x, r.y), r.text
