@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.session import materialize
+from quillon.session import materialize, ship
 
 
 @dataclass
@@ -52,6 +52,7 @@ class Program:
     stop: Callable[[Step], bool] = lambda step: False
 
 
+# The names.
 #: Join strategies of a superstep by name; all give the same answer, and None leaves the choice to the optimizer.
 PLANS = {"OUTER_JOIN": None, "INNER_JOIN": "shuffle_hash", "OUTER_JOIN_SORT": "merge", "OUTER_JOIN_SINGLE_SORT": "merge"}
 
@@ -176,6 +177,7 @@ def run_python(
     deletes and inserts the same id, it is deleted, then inserted.
     """
     spark = vertices.sparkSession
+    ship(spark)
     n = vertices.count()
     if "weight" not in edges.columns:
         edges = edges.withColumn("weight", F.lit(1.0))

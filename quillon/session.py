@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -44,7 +46,9 @@ def ship(spark: SparkSession) -> None:
         return
     root = Path(__file__).resolve().parent
     if root.is_dir():
-        path = Path(tempfile.mkdtemp()).resolve() / "quillon.zip"
+        folder = Path(tempfile.mkdtemp()).resolve()
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        path = folder / "quillon.zip"
         with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
             for p in sorted(root.rglob("*.py")):
                 z.write(p, Path("quillon") / p.relative_to(root))
