@@ -13,7 +13,6 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import islice
 
 import ahocorasick
@@ -23,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.common import frugal
+from quillon.llm.common import frugal, held
 
 #: Pieces whose ids a worker remembers by default, in each of two generations (some 200 bytes a piece);
 #: older ones are encoded again.
@@ -161,13 +160,20 @@ class _Remembered(dict):
         return got
 
 
-@lru_cache(maxsize=1)
-def _worker(key: str, shared, most: int | None = None) -> tuple[_Remembered, list[bytes]]:
-    ranks = shared.value
-    table = [b""] * (max(ranks.values(), default=-1) + 1)
-    for t, i in ranks.items():
-        table[i] = t
-    return _Remembered(Encoder(ranks), most), table
+def _mark(ranks: dict[bytes, int]) -> str:
+    """The same for equal vocabularies, so that a worker goes on with its encoder when a later job brings one anew."""
+    return hashlib.sha256(repr(sorted(ranks.items())).encode()).hexdigest()
+
+
+def _worker(mark: str, shared, most: int | None = None) -> tuple[_Remembered, list[bytes]]:
+    def build():
+        ranks = shared.value
+        table = [b""] * (max(ranks.values(), default=-1) + 1)
+        for t, i in ranks.items():
+            table[i] = t
+        return _Remembered(Encoder(ranks), most), table
+
+    return held(("bpe", mark, most), build)
 
 
 def encode_text(text: str, remembered, pattern) -> bytes:
@@ -191,7 +197,8 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text_col: str = "text",
     whole; a worker holds one batch, the vocabulary and a bounded memory of pieces.
     """
     spark = df.sparkSession
-    shared = spark.sparkContext.broadcast(load_ranks(spark, ranks_path))  # bounded by the vocabulary file
+    ranks = load_ranks(spark, ranks_path)
+    mark, shared = _mark(ranks), spark.sparkContext.broadcast(ranks)  # bounded by the vocabulary file
     kept = [F.col(c).alias(f"k{i}") for i, c in enumerate(keep)]
     kinds = [df.schema[c].dataType for c in keep]
     source = df.select(*kept, F.coalesce(F.col(text_col), F.lit("")).alias("t"))
@@ -199,7 +206,7 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text_col: str = "text",
     schema = ", ".join([f"`{c}` {k.simpleString()}" for c, k in zip(keep, kinds)] + [f"{c} {k}" for c, k in extra])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, table = _worker(ranks_path, shared, remembered)
+        known, table = _worker(mark, shared, remembered)
         cut = regex.compile(pattern)
         for batch in batches:
             blobs = [encode_text(t.as_py(), known, cut) for t in batch.column(len(keep))]
@@ -213,17 +220,18 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text_col: str = "text",
                 cols.append(pa.array([hashlib.sha256(decode_ids(b, table)).hexdigest() for b in blobs], pa.string()))
             yield pa.RecordBatch.from_arrays(cols, names=[*keep, *[c for c, _ in extra]])
 
-    return source.mapInArrow(frugal(run), schema)
+    return source.mapInArrow(frugal(run, holds=True), schema)
 
 
 def decode(df: DataFrame, ranks_path: str, ids_col: str = "ids", out_col: str = "text") -> DataFrame:
     """Adds ``out_col``: the text that ``ids_col`` stands for.  Null ids give null; bytes that are no UTF-8 become U+FFFD."""
     spark = df.sparkSession
-    shared = spark.sparkContext.broadcast(load_ranks(spark, ranks_path))
+    ranks = load_ranks(spark, ranks_path)
+    mark, shared = _mark(ranks), spark.sparkContext.broadcast(ranks)
 
     @F.pandas_udf("string")
     def back(ids):
-        _, table = _worker(ranks_path, shared)
+        _, table = _worker(mark, shared)
         return ids.map(lambda x: None if x is None else b"".join([table[i] for i in x]).decode("utf-8", "replace"))
 
     return df.withColumn(out_col, back(F.col(ids_col)))

@@ -13,17 +13,35 @@ from pyspark.sql import functions as F
 from quillon.session import materialize, ship
 from quillon.session import table as read_table
 
-__all__ = ["WORD", "bound", "frugal", "in_blocks", "materialize", "range_index", "read_table", "running"]
+__all__ = ["WORD", "bound", "forget", "frugal", "held", "in_blocks", "materialize", "range_index", "read_table", "running"]
 
 #: ASCII white space that separates words; everything else is part of a word.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def frugal(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], rows: int = 1000) -> Callable:
+#: The model that this Python worker holds, by key; one at most.
+_HELD: dict = {}
+
+
+def held(key: tuple, build: Callable):
+    """What ``build()`` gave for ``key``, made once in a Python worker; the model before it goes first, so that two never stand in memory."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = build()
+    return _HELD[key]
+
+
+def forget() -> None:
+    """Drop the model of this Python worker."""
+    _HELD.clear()
+
+
+def frugal(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], rows: int = 1000, holds: bool = False) -> Callable:
     """A mapper over Arrow batches that sees at most ``rows`` rows at once and returns memory when its task ends.
 
     Python workers live on between tasks and stages; what the allocators keep would add up in an executor.
-    They need this package, so it is shipped here if it was not yet.
+    A model that an earlier stage left goes too, unless the mapper ``holds`` one itself.  Workers need
+    this package, so it is shipped here if it was not yet.
     """
     ship(SparkSession.active())
 
@@ -33,6 +51,8 @@ def frugal(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
                 yield batch.slice(at, rows)
 
     def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not holds:
+            forget()
         try:
             yield from run(sliced(batches))
         finally:

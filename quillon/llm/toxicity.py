@@ -34,7 +34,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import frugal, materialize
+from quillon.llm.common import forget, frugal, materialize
 from quillon.llm.jaccard import shingle_set
 from quillon.session import ship
 
@@ -380,6 +380,7 @@ def score(df: DataFrame, grammar: Grammar, text_col: str = "text", out_col: str
     @F.pandas_udf("double")
     def scored(texts):
         if not held:
+            forget()
             held.append(shared.value.reader())
         reader = held[0]
         return texts.map(lambda t: reader.grammar.score(reader.weigh(t), len(t)))

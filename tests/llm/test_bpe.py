@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from quillon.llm import bpe
+from quillon.llm import bpe, common
 from quillon.llm.queries import tokenizer
 
 regex = pytest.importorskip("regex")
@@ -100,3 +100,24 @@ def test_query_against_the_reference(spark, sf_dir, reference):
         ids = reference.encode_ordinary(docs[r.doc_id])
         packed = b"".join(i.to_bytes(4, "little") for i in ids)
         assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), hashlib.sha256(packed).hexdigest(), hashlib.sha256(docs[r.doc_id].encode()).hexdigest())
+
+
+def test_a_worker_holds_one_model():
+    made = []
+
+    def build(name):
+        assert not common._HELD  # the one before is gone already
+        made.append(name)
+        return name
+
+    common.forget()
+    assert [common.held((n,), lambda n=n: build(n)) for n in "aabba"] == list("aabba")
+    assert made == ["a", "b", "a"]
+    common.forget()
+    assert common.held(("a",), lambda: build("again")) == "again"
+    common.forget()
+
+
+def test_equal_vocabularies_have_one_mark():
+    a = {b"a": 0, b"b": 1}
+    assert bpe._mark(a) == bpe._mark(dict(reversed(a.items()))) != bpe._mark({b"a": 1, b"b": 0})
