@@ -1,9 +1,12 @@
 """Grouped prefix join: near-duplicate documents by the Jaccard likeness of their word shingles.
 
 1. Every document becomes the set of its hashed shingles.  Documents of equal sets are one class.
-2. Shingles that many documents share are found over all documents and all their shingles.  All sets
-   are put in one order, rare shingles first, and a class keeps the prefix of that order that any
-   set like enough must share a shingle with.
+2. All shingles of all documents are counted in ``CELLS`` cells by their hash.  All sets are put in one
+   order, shingles of the emptiest cells first, and a class keeps the prefix of that order that any
+   set like enough must share a shingle with.  A shingle of several documents lifts its cell above the
+   others by as many, so it leaves the prefixes once it is in more of them than the cells differ by
+   chance; that grows with the root of the table.  With a bound on frequency, which grows with
+   the table, pairs that share nothing else would grow with its square.
 3. Classes of identical prefix and size are collapsed to one group.
 4. Groups that share a shingle of their prefixes are paired, if sizes and places of the shared
    shingle allow the overlap.  A pair that shares a run of shingles comes up at the run's start only.
@@ -25,6 +28,8 @@ The order in (2) decides what is compared, never what is linked: any order gives
 
 from __future__ import annotations
 
+import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,9 +42,12 @@ from pyspark.sql import functions as F
 from quillon.llm.common import frugal, materialize
 from quillon.llm.components import connected_components
 
-#: Shingles that a task counts at once.  One that is in more than 1 / CHUNK of all places shows up twice in some chunk.
-CHUNK = 4_000_000
-#: Documents from which on a shingle goes to the end of the order.
+#: Cells in which shingles are counted, a power of two, and cells of a row while counts are added.
+CELLS = 1 << 22
+STRIP = 1 << 16
+#: Shingles that a task counts at once.
+CHUNK = 1_000_000
+#: Place in the order, of 256, of the cell that holds the average.
 FREQUENT = 32
 #: Prefixes up to which a shingle makes rows of pairs.
 DENSE = 64
@@ -102,22 +110,19 @@ def _batches(batch: pa.RecordBatch, words: int):
 
 
 def _sets(docs: DataFrame, words: int) -> DataFrame:
-    """A row for each document, and rows with shingles that chunks of documents have more than once."""
+    """A row for each document, and rows with strips of the counts of a task's shingles by cell."""
+    cells, strip, chunk = CELLS, STRIP, CHUNK
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting, held, seen = [], 0, set()
-        names = ["id", "th", "n", "sig", "shingles", "counts"]
+        names = ["id", "th", "n", "sig", "strip", "counts"]
+        table = np.zeros(cells, np.uint16)
 
-        def counted():
-            every = np.concatenate(waiting)
+        def count():
+            at = (np.concatenate(waiting) & np.uint64(cells - 1)).astype(np.int64)
+            table[:] = np.minimum(table + np.bincount(at, minlength=cells), 65_535)
             waiting.clear()
-            every.sort()
-            got, times = np.unique(every[1:][every[1:] == every[:-1]], return_counts=True)
-            times += 1
-            return pa.RecordBatch.from_arrays(
-                [pa.array([None], pa.int64()), pa.array([None], pa.int64()), pa.array([None], pa.int64()), pa.array([None], pa.binary()), pa.array([got.view(np.int64)], pa.list_(pa.int64())), pa.array([times], pa.list_(pa.int64()))],
-                names=names,
-            )
+            seen.clear()
 
         for batch in batches:
             n, sig = [], []
@@ -128,22 +133,55 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
                     seen.add(sig[-1])
                     waiting.append(s)
                     held += len(s)
-                if held >= CHUNK:
-                    yield counted()
-                    held, seen = 0, set()
-            none = pa.nulls(len(n), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("th"), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), none, none], names=names)
+                if held >= chunk:
+                    count()
+                    held = 0
+            none = [pa.nulls(len(n), pa.int64()), pa.nulls(len(n), pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("th"), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), *none], names=names)
         if waiting:
-            yield counted()
+            count()
+        for at in range(0, cells, strip):
+            part = table[at : at + strip]
+            if part.any():
+                blank = [pa.nulls(1, pa.int64())] * 3 + [pa.nulls(1, pa.binary())]
+                low = part if part.max() > 255 else part.astype(np.uint8)
+                yield pa.RecordBatch.from_arrays([*blank, pa.array([at // strip], pa.int64()), pa.array([zlib.compress(low.tobytes(), 1)], pa.binary())], names=names)
 
-    return docs.mapInArrow(frugal(run), "id long, th long, n long, sig binary, shingles array<long>, counts array<long>")
+    return docs.mapInArrow(frugal(run), "id long, th long, n long, sig binary, strip long, counts binary")
 
 
-def _prefixes(docs: DataFrame, words: int, percent: int, frequent) -> DataFrame:
+def _order(made: DataFrame) -> np.ndarray:
+    """The place of each cell in the order, 0 to 255: quarters of the deviation that chance gives around the average, then logarithmic."""
+    strip, width = STRIP, min(STRIP, CELLS)
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for at, blob in zip(batch.column("strip").to_pylist(), batch.column("counts")):
+                raw = zlib.decompress(blob.as_buffer())
+                part = np.frombuffer(raw, np.uint8 if len(raw) == width else np.uint16)
+                sums[at] = sums[at] + part if at in sums else part.astype(np.int64)
+        for at, total in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([np.minimum(total, (1 << 32) - 1).astype(np.uint32).tobytes()], pa.binary())], names=["strip", "counts"])
+
+    total = np.zeros(CELLS, np.uint32)
+    strips = made.where("strip is not null").select("strip", "counts").repartition(_ceil(CELLS, STRIP), "strip")
+    for row in strips.mapInArrow(frugal(added), "strip long, counts binary").collect():
+        part = np.frombuffer(row.counts, np.uint32)
+        total[row.strip * strip : row.strip * strip + len(part)] = part
+    mean = total.mean()
+    place = np.maximum((total - mean) / max(1.0, math.sqrt(mean) / 4) + FREQUENT, 0)
+    far = place > 128
+    place[far] = 128 + 12 * np.log2(place[far] / 128)
+    return np.minimum(place, 255).astype(np.uint8)
+
+
+def _prefixes(docs: DataFrame, words: int, percent: int, order) -> DataFrame:
     """``sig, n, gid, prefix, sketch`` of each document; copies in a task give one row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common, seen = frequent.value, set()
+        place, seen = order.value, set()
+        mask = np.uint64(len(place) - 1)
         for batch in batches:
             sig, n, gid, prefix, marks = [], [], [], [], []
             for _, s in _batches(batch, words):
@@ -153,8 +191,8 @@ def _prefixes(docs: DataFrame, words: int, percent: int, frequent) -> DataFrame:
                 if len(seen) < 100_000:  # a memory only: a class that comes twice is grouped below
                     seen.add(mark)
                 size = len(s) - _ceil(len(s) * percent, 100) + 1
-                late = common[np.minimum(np.searchsorted(common, s), len(common) - 1)] == s
-                kept = np.concatenate([s[~late][:size], s[late][:size]])[:size]
+                # Of equal places the smaller hash comes first: sets are sorted, and the sort is stable.
+                kept = s[np.argsort(place[(s & mask).astype(np.int64)], kind="stable")[:size]]
                 sig.append(mark)
                 n.append(len(s))
                 prefix.append(kept.view(np.int64))
@@ -332,19 +370,13 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     spark = df.sparkSession
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("th"))
     made = materialize(_sets(docs, words), "jaccard-sets")
-    rows = made.where("shingles is null").select("id", "th", "n", "sig")
-    total = rows.agg(F.sum("n")).first()[0] or 0
-    # Counts in single chunks are left out, so the bound is half of what it stands for; at most 2 * CHUNK shingles pass it.
-    least = max(FREQUENT, total // CHUNK)
-    counts = made.where("shingles is not null").select(F.explode(F.arrays_zip("shingles", "counts")).alias("c")).groupBy("c.shingles").agg(F.sum("c.counts").alias("k")).where(F.col("k") >= least)
-    common = np.sort(counts.select(F.col("shingles").alias("s")).toPandas()["s"].to_numpy(dtype=np.int64).view(np.uint64))
-    if not len(common):
-        common = np.zeros(1, np.uint64)
-    frequent = spark.sparkContext.broadcast(common)
+    rows = made.where("strip is null").select("id", "th", "n", "sig")
+    order = spark.sparkContext.broadcast(_order(made))
 
     classes = rows.where("sig is not null").groupBy("sig").agg(F.min("id").alias("first_id"), F.min_by("th", F.coalesce("id", F.lit((1 << 63) - 1))).alias("th"))
-    prefixes = materialize(_prefixes(docs, words, percent, frequent), "jaccard-prefixes")
+    prefixes = materialize(_prefixes(docs, words, percent, order), "jaccard-prefixes")
     groups = prefixes.groupBy("gid").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"), (F.min("sig") == F.max("sig")).alias("single"), F.first("sketch").alias("sketch"))
+    groups = materialize(groups, "jaccard-groups")  # read four times
     members = prefixes.select("gid", "sig", "n").distinct()
     sizes = members.groupBy("gid").agg(F.count("*").alias("m"), F.sum("n").alias("tokens"))
     within = sizes.where("m > 1").select(F.col("gid").alias("a"), F.col("gid").alias("b"))

@@ -132,3 +132,25 @@ def test_a_large_group_of_near_copies(spark):
     start = time.time()
     got = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=5, percent=80).groupBy("component_id").count().collect()
     assert [tuple(r) for r in got] == [(0, 20_000)] and time.time() - start < 100
+
+
+def test_shingles_of_some_documents_bring_no_pairs(spark, monkeypatch):
+    """Shingles that 24 documents share, and nothing else: documents have rarer ones to be found by, so no pair is made for them."""
+    rng = random.Random(3)
+    phrases = [" ".join(f"p{i}x{k}" for k in range(3)) for i in range(1000)]
+    held = [[] for _ in range(800)]
+    for phrase in phrases:
+        for d in rng.sample(range(800), 24):
+            held[d].append(phrase)
+    texts = [" ".join(f"{phrase} u{d}x{i} u{d}y{i} u{d}z{i}" for i, phrase in enumerate(mine)) for d, mine in enumerate(held)]
+    rows = list(enumerate([*texts, *(t + " tail" for t in texts[:20])]))
+    made, write = {}, jaccard.materialize
+
+    def counted(df, label="step"):
+        made[label] = write(df, label)
+        return made[label]
+
+    monkeypatch.setattr(jaccard, "materialize", counted)
+    got = _found(spark, rows, 3, 90)
+    assert [c for _, _, c in got] == [c for _, _, c, _ in brute(rows, 3, 90)] and sum(d != c for d, _, c in got) == 20
+    assert made["jaccard-met"].count() < 100
