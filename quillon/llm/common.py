@@ -7,13 +7,13 @@ import math
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.session import materialize, ship
 from quillon.session import table as read_table
 
-__all__ = ["WORD", "bound", "forget", "frugal", "held", "in_blocks", "materialize", "range_index", "read_table", "running"]
+__all__ = ["WORD", "bound", "discard", "forget", "frugal", "held", "in_blocks", "materialize", "range_index", "read_table", "running", "sweep"]
 
 #: ASCII white space that separates words; everything else is part of a word.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -65,6 +65,22 @@ def frugal(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
     return wrapped
 
 
+def sweep(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of jobs that are done: it does so once the driver's JVM has collected their plans, which a long job may not see for an hour."""
+    spark.sparkContext._jvm.System.gc()
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete materialized tables that nothing reads any more; they would stay until the driver ends."""
+    for df in tables:
+        jvm = df.sparkSession.sparkContext._jvm
+        for folder in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
+            at = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(folder))
+            at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    for df in tables[:1]:
+        sweep(df.sparkSession)
+
+
 def range_index(key: Column, splitters: list[str]) -> Column:
     """How many of the sorted ``splitters``, given as SQL literals, are <= ``key``: a two-level search, about 2*sqrt(n) comparisons."""
     n = len(splitters)

@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import frugal, materialize
+from quillon.llm.common import discard, frugal, materialize, sweep
 from quillon.llm.components import connected_components
 
 #: Cells in which shingles are counted, a power of two, and cells of a row while counts are added.
@@ -377,14 +377,18 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     prefixes = materialize(_prefixes(docs, words, percent, order), "jaccard-prefixes")
     groups = prefixes.groupBy("gid").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"), (F.min("sig") == F.max("sig")).alias("single"), F.first("sketch").alias("sketch"))
     groups = materialize(groups, "jaccard-groups")  # read four times
-    members = prefixes.select("gid", "sig", "n").distinct()
+    members = materialize(prefixes.select("gid", "sig", "n").distinct(), "jaccard-members")
+    discard(prefixes)
     sizes = members.groupBy("gid").agg(F.count("*").alias("m"), F.sum("n").alias("tokens"))
     within = sizes.where("m > 1").select(F.col("gid").alias("a"), F.col("gid").alias("b"))
     entry = _entries(groups.select("gid", "n", "prefix"))
     dense = materialize(entry.groupBy("token").agg(F.count("*").alias("m")).where(F.col("m") > DENSE).select("token"), "jaccard-tokens")
+    sweep(spark)
     hubs = materialize(entry.join(_small(dense), "token", "left_semi"), "jaccard-dense")
     met = materialize(_paired(entry.join(_small(dense), "token", "left_anti"), percent), "jaccard-met")
+    sweep(spark)
     pairs = materialize(_sketched(met, groups.select("gid", "n", "single", "sketch"), percent).union(within), "jaccard-pairs")
+    discard(met, groups)
 
     # Blocks: neighbours under one label, by two steps of the smallest neighbour; any labels would do.
     both = pairs.union(pairs.select("b", "a"))
@@ -431,6 +435,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # One document of each class that is needed brings its whole set.
     held = docs.join(once, (F.col("th") == F.col("w_th")) & F.col("id").eqNullSafe(F.col("w_id"))).select("t", "sig")
     sets = materialize(held.mapInArrow(frugal(whole), "sig binary, s binary").dropDuplicates(["sig"]), "jaccard-wanted")
+    sweep(spark)
 
     def verified(blocks: DataFrame, roots: DataFrame | None) -> DataFrame:
         blocks = materialize(blocks, "jaccard-blocks")
@@ -438,7 +443,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         inside = ends.select("gid", "block", F.col("ca").alias("chunk")).union(ends.where("ca <> cb").select("gid", "block", "cb")).distinct().join(placed, ["gid", "chunk"]).dropDuplicates(["block", "sig"])
         inside = inside.join(roots, "sig", "left") if roots is not None else inside.withColumn("root", F.col("sig"))
         brought = inside.join(sets, "sig").select((F.col("block") + 0).alias("block"), "gid", "sig", F.coalesce("root", "sig").alias("root"), "s")
-        return materialize(brought.groupBy("block").cogroup(blocks.drop("ca", "cb").groupBy("block")).applyInArrow(_verify(percent), "a binary, b binary"), "jaccard-links")
+        links = materialize(brought.groupBy("block").cogroup(blocks.drop("ca", "cb").groupBy("block")).applyInArrow(_verify(percent), "a binary, b binary"), "jaccard-links")
+        discard(blocks)
+        return links
 
     # Each chunk of a hub meets itself and the pivot, and the pivot's groups meet all other chunks.
     own = spread.withColumn("other", F.col("chunk"))
@@ -472,6 +479,7 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
     Of rows with the same id and text one stays; null ids come last.  Documents without words all stay.
     """
     found = materialize(near_duplicates(df, id_col, text_col, words, percent).where("component is not null"), "jaccard-found")
+    sweep(df.sparkSession)
     rank = F.struct(F.coalesce("id", F.lit((1 << 63) - 1)).alias("id"), F.col("th"))
     first = found.groupBy("component").agg(F.min(rank).alias("first"), F.count("*").alias("n")).where("n > 1")
     gone = found.join(first, "component").where(rank != F.col("first")).select(F.col("id").alias("g_id"), F.col("th").alias("g_th")).distinct()

@@ -154,3 +154,32 @@ def test_shingles_of_some_documents_bring_no_pairs(spark, monkeypatch):
     got = _found(spark, rows, 3, 90)
     assert [c for _, _, c in got] == [c for _, _, c, _ in brute(rows, 3, 90)] and sum(d != c for d, _, c in got) == 20
     assert made["jaccard-met"].count() < 100
+
+
+def test_disk_of_done_steps_is_free(spark, monkeypatch):
+    """While the last steps run, shuffle files and tables of earlier ones are gone."""
+    import time
+    from pathlib import Path
+
+    rng = random.Random(8)
+    rows = [(i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(150))) for i in range(4000)]
+    rows += [(i + 4000, t + " tail") for i, (_, t) in enumerate(rows[:50])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    dirs = [Path(d.getPath()) for d in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    shuffled = lambda: sum(p.stat().st_size for d in dirs for p in d.rglob("shuffle_*.data") if p.exists())
+    made, write = {}, jaccard.materialize
+
+    def kept(df, label="step"):
+        made[label] = write(df, label)
+        return made[label]
+
+    monkeypatch.setattr(jaccard, "materialize", kept)
+    spark.sparkContext._jvm.System.gc()
+    time.sleep(2)
+    before = shuffled()
+    got = jaccard.near_duplicates(df, words=5, percent=80)
+    time.sleep(2)  # files go beside the job
+    assert shuffled() - before < 1_000_000  # 120,000 entries of prefixes alone are more
+    for label in ("prefixes", "groups", "met", "blocks"):
+        assert not any(Path(f.removeprefix("file://")).exists() for f in made[f"jaccard-{label}"].inputFiles())
+    assert got.where("id <> component_id").count() == 50
