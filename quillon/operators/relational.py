@@ -59,6 +59,16 @@ def equi_join(left: DataFrame, right: DataFrame, on: Sequence[str] | Column, how
     return left.join(right, on if isinstance(on, Column) else list(on), how)
 
 
+def equi_join_counts(left: DataFrame, right: DataFrame, on: Sequence[str], name: str = "n") -> DataFrame:
+    """``on, name``: how many rows ``equi_join`` has for each key.
+
+    Each side is counted by key before they meet, so a key that is there ``m`` and ``n`` times costs ``m + n`` rows, not ``m * n``.
+    """
+    one = left.groupBy(*on).agg(F.count("*").alias("__left"))
+    other = right.groupBy(*on).agg(F.count("*").alias("__right"))
+    return equi_join(one, other, on).select(*on, (F.col("__left") * F.col("__right")).alias(name))
+
+
 def theta_join(left: DataFrame, right: DataFrame, condition: Column) -> DataFrame:
     """Join without an equality: the right side is broadcast if it is as small as it must be.
 

@@ -233,7 +233,7 @@ def j11_n_way(spark, d):
 @query("SELECT a.c_nationkey AS k, COUNT(*) AS n FROM customer a JOIN customer b ON a.c_nationkey = b.c_nationkey GROUP BY a.c_nationkey")
 def j12_duplicated_keys(spark, d):
     one = table(spark, d, "customer").select(F.col("c_nationkey").alias("k"))
-    return R.equi_join(one, one, ["k"]).groupBy("k").agg(F.count("*").alias("n"))
+    return R.equi_join_counts(one, one, ["k"])
 
 
 @query("SELECT o_orderkey, c_name FROM orders LEFT JOIN customer ON o_custkey = c_custkey AND c_acctbal < 0")

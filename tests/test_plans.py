@@ -66,3 +66,19 @@ def test_semi_and_anti_joins_stay_that(spark, sf_dir):
 def test_assembly_builds_without_python(spark, sf_dir):
     text = plan(QUERIES["as_build"](spark, sf_dir))
     assert "Python" not in text and "Arrow" not in text and text.count("Exchange") == 1
+
+
+def test_join_counts_do_not_make_the_pairs_of_a_key(spark):
+    """2 million rows of one key would make 4e12 pairs; null keys meet nothing, and a key of one side only has no row."""
+    hot = spark.range(2_000_000).select(F.when(F.col("id") < 7, F.lit(None).cast("int")).otherwise((F.col("id") == 9).cast("int")).alias("k"))
+    other = spark.createDataFrame([(0,), (0,), (0,), (2,), (None,)], "k int")
+    assert {r.k: r.n for r in R.equi_join_counts(hot, hot, ["k"]).collect()} == {0: 1_999_992**2, 1: 1}
+    assert {r.k: r.n for r in R.equi_join_counts(hot, other, ["k"]).collect()} == {0: 3 * 1_999_992}
+
+
+def test_duplicated_keys_are_counted_before_they_meet(spark, tmp_path):
+    rows = spark.range(400_000).select(F.when(F.col("id") > 0, (F.col("id") % 2).cast("int")).alias("c_nationkey"))
+    rows.write.parquet(f"{tmp_path}/customer.parquet")
+    got = QUERIES["j12_duplicated_keys"](spark, str(tmp_path))
+    # 8e10 pairs, which the join itself would take many minutes to make.
+    assert "Aggregate" in plan(got).split("Join")[1] and {r.k: r.n for r in got.collect()} == {0: 199_999**2, 1: 200_000**2}
