@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.graph.bsp import Program, run, run_python
+from quillon.session import materialize
 
 #: Fixed value: the distance of a vertex that is not reached.
 UNREACHED = 1.7976931348623157e308
@@ -106,40 +107,92 @@ def triangles(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     return vertices.select("id").join(counted, "id", "left").select("id", F.coalesce("n", F.lit(0)).cast("long").alias("value"))
 
 
+def _pairs(edges: DataFrame) -> DataFrame:
+    """``a, b``: the undirected edges, each once with ``a < b``."""
+    return edges.where("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
+
+
+def _corners(pairs: DataFrame) -> DataFrame:
+    """``x, p, q``: every triangle of ``pairs`` once.
+
+    Edges are turned from the end of smaller degree to the other, so that a hub has few outgoing
+    edges and all work stays within the bound m * sqrt(m).  The paths of two edges make no rows: an
+    edge carries the later targets of its start to its end, and they are cut with the targets there.
+    """
+    degree = pairs.select(F.col("a").alias("v")).union(pairs.select("b")).groupBy("v").agg(F.count("*").alias("d"))
+    ranked = pairs.join(degree.select(F.col("v").alias("a"), F.col("d").alias("da")), "a").join(degree.select(F.col("v").alias("b"), F.col("d").alias("db")), "b")
+    up = F.struct("da", "a") < F.struct("db", "b")
+    turned = ranked.select(F.when(up, F.col("a")).otherwise(F.col("b")).alias("x"), F.struct(F.greatest("da", "db").alias("d"), F.when(up, F.col("b")).otherwise(F.col("a")).alias("y")).alias("to"))
+    fans = materialize(turned.groupBy("x").agg(F.sort_array(F.collect_list("to")).getField("y").alias("ys")), "fans")
+    carried = fans.where(F.size("ys") > 1).select("x", "ys", F.posexplode("ys").alias("at", "p"))
+    carried = carried.where(F.col("at") + 1 < F.size("ys")).select("x", "p", F.slice("ys", F.col("at") + 2, F.size("ys")).alias("rest"))
+    met = carried.join(fans.select(F.col("x").alias("p"), F.col("ys").alias("near")), "p")
+    return met.select("x", "p", F.explode(F.array_intersect("rest", "near")).alias("q"))
+
+
 def largest_cliques(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """``id, size, cliques``: of the cliques in which a vertex is the smallest, the largest ones, ``a,b,c;`` each.
 
-    The neighbourhood of each vertex among larger ids, with the edges inside it, is searched by
-    itself; a neighbourhood is as large as the degree, not as the graph.  A size below 2 gives ''.
+    A vertex without triangles among larger ids has its edges as cliques.  The triangles of any other
+    hold all that can be larger, and are searched by themselves: they come in order, so that Python
+    holds those of one vertex at a time.  A size below 2 gives ''.
     """
-    both = edges.where("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
-    spokes = both.select(F.col("a").alias("c"), F.col("b").alias("p"))
-    inner = spokes.join(spokes.select("c", F.col("p").alias("q")), "c").where("p < q")
-    inner = inner.join(both, (F.col("p") == F.col("a")) & (F.col("q") == F.col("b"))).select("c", "p", "q")
-    links = spokes.select("c", "p", F.lit(None).cast("long").alias("q")).union(inner)
-
-    def search(frame: pd.DataFrame) -> pd.DataFrame:
-        c = int(frame["c"].iloc[0])
-        near: dict[int, set[int]] = {int(p): set() for p in frame["p"]}
-        for p, q in zip(frame["p"], frame["q"]):
-            if not pd.isna(q):
-                near[int(p)].add(int(q))
-                near[int(q)].add(int(p))
-        found = list(_maximal(near))
-        size = max(map(len, found), default=0)
-        best = sorted(sorted([c, *k]) for k in found if len(k) == size)
-        return pd.DataFrame({"id": [c], "size": [size + 1], "cliques": ["".join(",".join(map(str, k)) + ";" for k in best)]})
-
-    got = links.groupBy("c").applyInPandas(search, "id long, size long, cliques string")
-    return vertices.select(F.col("id").cast("long").alias("id")).join(got, "id", "left").select("id", F.coalesce("size", F.lit(1)).alias("size"), F.coalesce("cliques", F.lit("")).alias("cliques"))
+    pairs = materialize(_pairs(edges.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"))), "pairs")
+    corner = _corners(pairs).select(F.array_sort(F.array("x", "p", "q")).alias("v"))
+    corner = corner.select(F.col("v")[0].alias("c"), F.col("v")[1].alias("p"), F.col("v")[2].alias("q"))
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, near = None, {}
+        for batch in batches:
+            found = []
+            for c, p, q in zip(*(column.to_numpy().tolist() for column in batch.columns)):
+                if c != of:
+                    if near:
+                        found.append(_largest(of, near))
+                    of, near = c, {}
+                near.setdefault(p, set()).add(q)
+                near.setdefault(q, set()).add(p)
+            if found:
+                yield _clique_rows(found)
+        if near:
+            yield _clique_rows([_largest(of, near)])
+
+    got = corner.repartition("c").sortWithinPartitions("c").mapInArrow(search, "id long, size long, cliques string")
+    edge = pairs.groupBy(F.col("a").alias("id")).agg(F.sort_array(F.collect_list("b")).alias("ps"))
+    edge_text = F.array_join(F.transform("ps", lambda p: F.concat(F.col("id").cast("string"), F.lit(","), p.cast("string"), F.lit(";"))), "")
+    out = vertices.select(F.col("id").cast("long").alias("id")).join(edge, "id", "left").join(got, "id", "left")
+    return out.select(
+        "id",
+        F.coalesce("size", F.when(F.col("ps").isNotNull(), F.lit(2)), F.lit(1)).cast("long").alias("size"),
+        F.coalesce("cliques", edge_text, F.lit("")).alias("cliques"),
+    )
+
+
+def _largest(c: int, near: dict[int, set[int]]) -> tuple[int, int, str]:
+    found = list(_maximal(near))
+    size = max(map(len, found))
+    best = sorted(sorted([c, *k]) for k in found if len(k) == size)
+    return c, size + 1, "".join(",".join(map(str, k)) + ";" for k in best)
+
+
+def _clique_rows(found: list[tuple[int, int, str]]) -> pa.RecordBatch:
+    ids, sizes, cliques = zip(*found)
+    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(cliques, pa.string())], ["id", "size", "cliques"])
 
 
 def _maximal(near: dict[int, set[int]]) -> Iterator[frozenset[int]]:
-    """Maximal cliques, by branching on what a pivot does not touch."""
+    """Maximal cliques, all of the largest ones among them, by branching on what a pivot does not touch.
+
+    A branch that cannot reach the size of the largest one so far is left.
+    """
+    best = 0
     stack = [(frozenset(), set(near), set())]
     while stack:
         clique, open_, closed = stack.pop()
+        if len(clique) + len(open_) < best:
+            continue
         if not open_ and not closed:
+            best = len(clique)
             yield clique
             continue
         if not open_:

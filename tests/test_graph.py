@@ -184,3 +184,47 @@ def test_missing_vertices_can_be_created(graph):
 def test_empty_graph(spark):
     v, e = spark.createDataFrame([], "id long"), spark.createDataFrame([], "src long, dst long")
     assert A.page_rank(v, e).count() == 0 and A.triangles(v, e).count() == 0 and A.connected_components(v, e).count() == 0
+
+
+def _plain_cliques(pairs):
+    """The largest cliques of each smallest vertex, grown vertex by vertex."""
+    near = {}
+    for a, b in pairs:
+        near.setdefault(min(a, b), set()).add(max(a, b))
+    out = {}
+    for c, larger in near.items():
+        level = [[c, p] for p in sorted(larger)]
+        while more := [[*k, v] for k in level for v in sorted(set.intersection(*(near.get(u, set()) for u in k)))]:
+            level = more
+        out[c] = len(level[0]), "".join(",".join(map(str, k)) + ";" for k in sorted(level))
+    return out
+
+
+def test_cliques_and_triangles_of_a_random_graph_with_a_hub(spark):
+    """Sizes 1 to 6, a hub with thousands of edges, edges both ways, twice, to itself, to null and to ids without a vertex."""
+    import random
+    from itertools import combinations
+
+    r = random.Random(7)
+    pairs = {tuple(sorted(r.sample(range(60), 2))) for _ in range(250)} | set(combinations((3, 17, 29, 41, 55, 58), 2))
+    pairs |= {(0, v) for v in range(1, 3000)} | {(2999, 5000), (5000, 5001), (2999, 5001)}
+    rows = [*pairs, *[(b, a) for a, b in list(pairs)[::3]], *list(pairs)[::5], (7, 7), (9, None)]
+    vertices, edges = spark.range(3002).select("id"), spark.createDataFrame(rows, "src long, dst long")
+    want = _plain_cliques(pairs)
+    got = {x.id: (x.size, x.cliques) for x in A.largest_cliques(vertices, edges).collect()}
+    assert got == {v: want.get(v, (1, "")) for v in range(3002)} and {1, 2, 3, 6} <= {n for n, _ in got.values()}
+    near = {v: {b for a, b in pairs if a == v} for v in want}
+    assert _values(A.triangles(vertices, edges)) == {v: sum(len(near[v] & near.get(p, set())) for p in near.get(v, ())) for v in range(3002)}
+
+
+def test_cliques_start_no_group_in_python_for_each_vertex(graph):
+    """A group in pandas costs milliseconds a vertex; triangles go to Python in order, by batches."""
+    plan = A.largest_cliques(*graph(CLIQUE))._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroups" not in plan and "MapInArrow" in plan
+
+
+def test_largest_cliques_are_found_without_all_maximal_ones():
+    """The 5 * 4 ** 12 maximal cliques of a graph of twelve fours and a clique of 14 beside it; only that one is asked for."""
+    near = {v: {w for w in range(48) if w // 4 != v // 4} for v in range(48)}
+    near |= {v: {w for w in range(100, 114) if w != v} for v in range(100, 114)}
+    assert max(map(len, A._maximal(near))) == 14
