@@ -13,10 +13,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
+from itertools import islice
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from quillon.session import materialize, ship
 
@@ -123,11 +126,34 @@ def _totals(state: DataFrame, program: Program) -> dict:
 
 # -- programs in Python ------------------------------------------------------------------------------
 class Vertex:
-    """What a Python ``compute`` sees and does; mutations take effect between supersteps."""
+    """What a Python ``compute`` sees and does; mutations take effect between supersteps.
 
-    def __init__(self, id, value, edges: list[tuple], superstep: int, n_vertices: int):
-        self.id, self.value, self.edges, self.superstep, self.n_vertices = id, value, edges, superstep, n_vertices
-        self.halted, self.sent, self.added, self.deleted = False, [], [], []
+    Edges are made into Python objects when they are first looked at.  A message to all of them
+    stays one until then, and Spark takes it along the edges.
+    """
+
+    def __init__(self, id, value, edges: Callable[[], list[tuple]], superstep: int, n_vertices: int):
+        self.id, self.value, self.superstep, self.n_vertices = id, value, superstep, n_vertices
+        self.halted, self.sent, self.sent_to_all, self.added, self.deleted = False, [], [], [], []
+        self._load, self._edges = edges, None
+
+    @property
+    def edges(self) -> list[tuple]:
+        if self._edges is None:
+            self._edges = self._load()
+            for message in self.sent_to_all:
+                self.sent += [(to, message) for to, _ in self._edges]
+            self.sent_to_all = []
+        return self._edges
+
+    @edges.setter
+    def edges(self, edges: list[tuple]) -> None:
+        self.edges  # what was sent goes along the edges that were there
+        self._edges = edges
+
+    @property
+    def looked_at_edges(self) -> bool:
+        return self._edges is not None
 
     def send(self, to, message) -> None:
         if message is None:
@@ -135,6 +161,9 @@ class Vertex:
         self.sent.append((to, message))
 
     def send_to_all(self, message) -> None:
+        if message is not None and not self.looked_at_edges:
+            self.sent_to_all.append(message)
+            return
         for to, _ in self.edges:
             self.send(to, message)
 
@@ -172,7 +201,8 @@ def run_python(
 ) -> DataFrame:
     """``id, value`` of a program ``compute(vertex, messages)``.
 
-    Vertices, edges and messages meet by id in Arrow batches.  ``combine`` aggregates messages in
+    Vertices, edges and messages meet by id in Arrow batches; a vertex is one row on its way out,
+    with what it sends, adds and deletes.  ``combine`` aggregates messages in
     Spark before they are delivered; its default delivers them all as a list.  When one superstep
     deletes and inserts the same id, it is deleted, then inserted.
     """
@@ -181,45 +211,73 @@ def run_python(
     n = vertices.count()
     if "weight" not in edges.columns:
         edges = edges.withColumn("weight", F.lit(1.0))
-    near = edges.groupBy(F.col("src").alias("id")).agg(F.collect_list(F.struct("dst", "weight")).alias("edges"))
+    near = edges.groupBy(F.col("src").cast(id_type).alias("id")).agg(F.collect_list(F.struct(F.col("dst").cast(id_type).alias("dst"), F.col("weight").cast("double").alias("weight"))).alias("edges"))
     value = F.col("value").cast(value_type) if "value" in vertices.columns else F.lit(None).cast(value_type)
     state = materialize(vertices.select(F.col("id").cast(id_type).alias("id"), value.alias("value"), F.lit(False).alias("halted")).join(near, "id", "left"), "superstep")
     inbox = spark.createDataFrame([], f"id {id_type}, messages array<{message_type}>")
     edge_type = f"array<struct<dst:{id_type},weight:double>>"
-    schema = f"tag string, id {id_type}, value {value_type}, halted boolean, edges {edge_type}, message {message_type}"
     state_schema = f"id {id_type}, value {value_type}, halted boolean, edges {edge_type}"
+    schema = f"{state_schema}, sent array<struct<id:{id_type},message:{message_type}>>, sent_to_all array<{message_type}>, added array<struct<id:{id_type},value:{value_type}>>, deleted array<{id_type}>"
+    arrow = to_arrow_schema(spark.createDataFrame([], schema).schema)
     for superstep in range(1, max_supersteps + 1):
 
-        def step(batches: Iterable[pd.DataFrame], superstep=superstep) -> Iterable[pd.DataFrame]:
+        def step(batches: Iterable[pa.RecordBatch], superstep=superstep) -> Iterable[pa.RecordBatch]:
             for batch in batches:
-                rows = []
-                for id, value, halted, out, got in zip(batch["id"], batch["value"], batch["halted"], batch["edges"], batch["messages"]):
-                    messages = [] if got is None else list(got)
-                    links = [] if out is None else [(e["dst"], e["weight"]) for e in out]
-                    if halted and not messages:
-                        rows.append(("state", id, value, True, links, None))
-                        continue
-                    v = Vertex(id, value, links, superstep, n)
-                    compute(v, messages)
-                    rows.append(("state", v.id, v.value, v.halted, v.edges, None))
-                    rows += [("send", to, None, None, None, m) for to, m in v.sent]
-                    rows += [("add", i, x, False, None, None) for i, x in v.added]
-                    rows += [("delete", i, None, None, None, None) for i in v.deleted]
-                frame = pd.DataFrame(rows, columns=["tag", "id", "value", "halted", "edges", "message"])
-                frame["edges"] = frame["edges"].map(lambda x: None if x is None else [{"dst": a, "weight": b} for a, b in x])
-                yield frame
-
-        done = materialize(state.join(inbox, "id", "left").mapInPandas(step, schema), "superstep")
-        states = done.where("tag = 'state'").select("id", "value", "halted", "edges")
-        kept = states.join(done.where("tag = 'delete'").select("id"), "id", "left_anti")
-        added = done.where("tag = 'add'").groupBy("id").agg(F.max("value").alias("value")).select("id", "value", F.lit(False).alias("halted"), F.lit(None).cast(edge_type).alias("edges"))
-        state = spark.createDataFrame([], state_schema).union(kept).union(added.join(kept.select("id"), "id", "left_anti"))
-        sent = done.where("tag = 'send'")
-        combined = combine(F.col("message"))
-        inbox = sent.groupBy("id").agg(combined.alias("messages"))
+                links = batch.column("edges")
+                counts = batch.column("messages").value_lengths().fill_null(0).to_pylist()
+                messages = iter(batch.column("messages").flatten().to_pylist())
+                run_here = []
+                for i, (id, value, halted, n_got) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("id", "value", "halted")), counts)):
+                    v = Vertex(id, value, lambda i=i: _links(links[i]), superstep, n)
+                    if halted and not n_got:
+                        v.halted = True
+                    else:
+                        compute(v, list(islice(messages, n_got)))
+                    run_here.append(v)
+                if any(v.looked_at_edges for v in run_here):
+                    links = _lists([v.edges if v.looked_at_edges else _links(links[i]) for i, v in enumerate(run_here)], arrow.field("edges").type)
+                else:
+                    links = links.cast(arrow.field("edges").type)
+                flat = [_typed([getattr(v, c) for v in run_here], arrow.field(c).type) for c in ("id", "value", "halted")]
+                nested = [_lists([getattr(v, c) for v in run_here], arrow.field(c).type) for c in ("sent", "sent_to_all", "added", "deleted")]
+                yield pa.RecordBatch.from_arrays([*flat, links, *nested], schema=arrow)
+
+        done = materialize(state.join(inbox, "id", "left").mapInArrow(step, schema), "superstep")
+        n_sent, n_awake, n_added, n_deleted = done.agg(
+            F.count_if((F.size("sent") > 0) | ((F.size("sent_to_all") > 0) & (F.size("edges") > 0))), F.count_if(~F.col("halted")), F.count_if(F.size("added") > 0), F.count_if(F.size("deleted") > 0)
+        ).first()
+        state = done.select("id", "value", "halted", "edges")
+        if n_deleted:
+            state = state.join(done.select(F.explode("deleted").alias("id")), "id", "left_anti")
+        if n_added:
+            added = done.select(F.inline("added")).groupBy("id").agg(F.max("value").alias("value")).select("id", "value", F.lit(False).alias("halted"), F.lit(None).cast(edge_type).alias("edges"))
+            state = state.union(added.join(state.select("id"), "id", "left_anti"))
+        to_all = done.where(F.size("sent_to_all") > 0).select("sent_to_all", F.explode("edges.dst").alias("id")).select("id", F.explode("sent_to_all").alias("message"))
+        inbox = done.select(F.inline("sent")).union(to_all).groupBy("id").agg(combine(F.col("message")).alias("messages"))
         if inbox.schema["messages"].dataType.typeName() != "array":
             inbox = inbox.withColumn("messages", F.array("messages"))
-        left = done.agg(F.count_if(F.col("tag") == "send"), F.count_if((F.col("tag") == "state") & ~F.col("halted")), F.count_if(F.col("tag") == "add")).first()
-        if not any(left):
+        if not (n_sent or n_awake or n_added):
             break
     return state.select("id", "value")
+
+
+def _links(edges: pa.Scalar) -> list[tuple]:
+    return [(e["dst"], e["weight"]) for e in edges.as_py() or []]
+
+
+def _typed(values: list, kind: pa.DataType) -> pa.Array:
+    try:
+        return pa.array(values, kind)
+    except (pa.ArrowInvalid, pa.ArrowTypeError):  # numbers of another kind
+        return pa.array(values).cast(kind)
+
+
+def _lists(rows: list[list], kind: pa.ListType) -> pa.Array:
+    """Rows of values or, for structs, of tuples."""
+    flat, of = [x for row in rows for x in row], kind.value_type
+    if pa.types.is_struct(of):
+        columns = zip(*flat) if flat else [()] * of.num_fields
+        values = pa.StructArray.from_arrays([_typed(list(c), f.type) for c, f in zip(columns, of)], fields=list(of))
+    else:
+        values = _typed(flat, of)
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rows)]), pa.int32()), values, type=kind)

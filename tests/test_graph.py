@@ -228,3 +228,45 @@ def test_largest_cliques_are_found_without_all_maximal_ones():
     near = {v: {w for w in range(48) if w // 4 != v // 4} for v in range(48)}
     near |= {v: {w for w in range(100, 114) if w != v} for v in range(100, 114)}
     assert max(map(len, A._maximal(near))) == 14
+
+
+def test_messages_to_all_make_no_rows_in_python(spark):
+    """One vertex with 300,000 edges sends along all: one message leaves Python, and no edge becomes an object there."""
+    vertices = spark.range(300_001).select("id")
+    edges = vertices.where("id > 0").select(F.lit(0).cast("long").alias("src"), F.col("id").alias("dst"))
+
+    def compute(vertex, messages):
+        if vertex.superstep == 1 and vertex.id == 0:
+            vertex.send_to_all(5)
+            assert vertex.sent == [] and vertex.sent_to_all == [5] and not vertex.looked_at_edges
+        vertex.value = sum(messages)
+        vertex.vote_to_halt()
+
+    got = bsp.run_python(vertices, edges, compute, value_type="bigint", message_type="bigint")
+    assert [tuple(r) for r in got.groupBy("value").count().orderBy("value").collect()] == [(0, 1), (5, 300_000)]
+
+
+def test_edges_changed_after_a_message_to_all(graph):
+    """Messages go along the edges that are there when they are sent, and edges that were changed stay so."""
+
+    def compute(vertex, messages):
+        if vertex.superstep == 1:
+            assert vertex.value is None
+            vertex.send_to_all(1)
+            if vertex.id == 1:
+                vertex.remove_edge(2)
+                vertex.add_edge(7, 2.5)
+                vertex.send_to_all(10)
+            if vertex.id == 5:
+                vertex.edges = [(1, 0.5)]
+            vertex.value = 0
+        else:
+            vertex.value = vertex.value * 1000 + sum(messages)
+            if vertex.superstep == 2:
+                vertex.send_to_all(100)
+        if vertex.superstep > 1:
+            vertex.vote_to_halt()
+
+    got = _values(bsp.run_python(*graph(CLIQUE), compute, value_type="bigint", message_type="bigint"))
+    # From 1 in the first superstep 1 to 2, 3, 4 and then 10 to 3, 4, 7; in the second 100 along what is left.
+    assert got == {1: 3_400, 2: 3_200, 3: 13_300, 4: 13_300, 5: 4_400, 6: 2_100, 7: 12_200}
