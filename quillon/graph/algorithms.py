@@ -93,17 +93,10 @@ def message_counts(vertices: DataFrame, edges: DataFrame, clones: int = 10_000)
 def triangles(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """``id, value``: triangles of the undirected graph, each counted at its smallest vertex.
 
-    Edges are turned from the end of smaller degree to the other, so that a hub has few outgoing
-    edges and the paths of two edges stay within the bound m * sqrt(m).
+    The steps are those of ``_corners``; only counts leave them.
     """
-    both = edges.where("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
-    degree = both.select(F.col("a").alias("v")).union(both.select("b")).groupBy("v").agg(F.count("*").alias("d"))
-    ranked = both.join(degree.select(F.col("v").alias("a"), F.col("d").alias("da")), "a").join(degree.select(F.col("v").alias("b"), F.col("d").alias("db")), "b")
-    up = (F.col("da") < F.col("db")) | ((F.col("da") == F.col("db")) & (F.col("a") < F.col("b")))
-    turned = ranked.select(F.when(up, F.col("a")).otherwise(F.col("b")).alias("x"), F.when(up, F.col("b")).otherwise(F.col("a")).alias("y"))
-    paths = turned.select("x", F.col("y").alias("p")).join(turned.select("x", F.col("y").alias("q")), "x").where("p < q")
-    closed = paths.join(both, (F.col("p") == F.col("a")) & (F.col("q") == F.col("b")))
-    counted = closed.groupBy(F.least("x", "p", "q").alias("id")).agg(F.count("*").alias("n"))
+    corners = _corners(materialize(_pairs(edges), "pairs"))
+    counted = corners.groupBy(F.least("x", "p", "q").alias("id")).agg(F.count("*").alias("n"))
     return vertices.select("id").join(counted, "id", "left").select("id", F.coalesce("n", F.lit(0)).cast("long").alias("value"))
 
 

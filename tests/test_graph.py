@@ -270,3 +270,15 @@ def test_edges_changed_after_a_message_to_all(graph):
     got = _values(bsp.run_python(*graph(CLIQUE), compute, value_type="bigint", message_type="bigint"))
     # From 1 in the first superstep 1 to 2, 3, 4 and then 10 to 3, 4, 7; in the second 100 along what is left.
     assert got == {1: 3_400, 2: 3_200, 3: 13_300, 4: 13_300, 5: 4_400, 6: 2_100, 7: 12_200}
+
+
+def test_triangles_make_no_rows_of_paths(spark, monkeypatch):
+    """A fan of 2,000 over a path: the lists that meet hold each edge once, and none is longer than the root of all allows."""
+    pairs = [(0, v) for v in range(1, 2001)] + [(v, v + 1) for v in range(1, 2000)]
+    kept = []
+    materialize = A.materialize
+    monkeypatch.setattr(A, "materialize", lambda df, label: kept.append((label, materialize(df, label))) or kept[-1][1])
+    edges, vertices = spark.createDataFrame(pairs, "src long, dst long"), spark.range(2001)
+    assert _values(A.triangles(vertices, edges)) == {v: 1999 * (v == 0) for v in range(2001)}
+    fans = dict(kept)["fans"]
+    assert fans.agg(F.sum(F.size("ys"))).first()[0] == len(pairs) and fans.agg(F.max(F.size("ys"))).first()[0] <= 2 * len(pairs) ** 0.5
