@@ -29,7 +29,7 @@ def page_rank(vertices: DataFrame, edges: DataFrame, max_supersteps: int = 10, n
         sends=lambda old, new, step: F.lit(True),
         halts=lambda value, step: F.lit(False),
     )
-    return run(vertices.select("id"), edges, program, max_supersteps, n_vertices, checkpoint=lambda superstep: superstep % 5 == 0, until_quiet=False)
+    return run(vertices.select("id"), edges, program, max_supersteps, n_vertices, until_quiet=False)
 
 
 def shortest_paths(vertices: DataFrame, edges: DataFrame, source, max_supersteps: int = 1_000_000) -> DataFrame:

@@ -6,7 +6,7 @@ vertex are dropped unless ``create_missing`` asks for the vertex.  Programs writ
 expressions stay in the JVM; ``python_superstep`` runs a Python ``compute`` for any other program.
 
 Every superstep is written to the shared folder: plans do not grow, and a lost executor costs one
-superstep.  Edges are partitioned by source once.
+superstep.  Edges are put into lists by source once.
 """
 
 from __future__ import annotations
@@ -59,6 +59,9 @@ class Program:
 #: Join strategies of a superstep by name; all give the same answer, and None leaves the choice to the optimizer.
 PLANS = {"OUTER_JOIN": None, "INNER_JOIN": "shuffle_hash", "OUTER_JOIN_SORT": "merge", "OUTER_JOIN_SINGLE_SORT": "merge"}
 
+#: Edges in a list of links.
+LINKS = 1000
+
 
 def run(
     vertices: DataFrame,
@@ -81,9 +84,8 @@ def run(
     """
     if "value" not in vertices.columns:
         vertices = vertices.withColumn("value", F.lit(None).cast("double"))
-    if "weight" not in edges.columns:
-        edges = edges.withColumn("weight", F.lit(1.0))
-    edges = materialize(edges.select("src", "dst", "weight").join(edges.groupBy("src").agg(F.count("*").alias("degree")), "src").repartition("src"), "edges")
+    links = materialize(_link_lists(edges), "links")
+    to = (F.col("to")["dst"].alias("dst"), F.col("to")["weight"].alias("weight")) if "weight" in edges.columns else (F.col("to").alias("dst"), F.lit(1.0).alias("weight"))
     step = Step(1, n_vertices if n_vertices is not None else vertices.count())
 
     state = vertices.select("id", "value")
@@ -101,7 +103,8 @@ def run(
         if step.superstep >= max_supersteps or program.stop(step) or quiet:
             return state.select("id", "value")
         step = Step(step.superstep + 1, step.vertices, step.aggregates)
-        sent = state.where("sends").select(F.col("id").alias("src"), "value").join(edges, "src")
+        sent = state.where("sends").select(F.col("id").alias("src"), "value").join(links, "src")
+        sent = sent.select("value", "degree", F.explode("links").alias("to")).select("value", "degree", *to)
         inbox = sent.select("dst", program.message(F.col("value"), F.col("weight"), F.col("degree")).alias("m")).where("m is not null")
         inbox = inbox.groupBy(F.col("dst").alias("id")).agg(program.combine(F.col("m")).alias("message"))
         if PLANS[plan]:
@@ -119,6 +122,17 @@ def run(
             state = materialize(state, "superstep")
 
 
+def _link_lists(edges: DataFrame) -> DataFrame:
+    """``src, degree, links``: the edges of a vertex in lists of about ``LINKS``, which a superstep sorts and moves as one row each.
+
+    ``links`` has targets, or targets with weights if ``edges`` have them.
+    """
+    link = F.struct("dst", "weight") if "weight" in edges.columns else F.col("dst")
+    of = edges.join(edges.groupBy("src").agg(F.count("*").alias("degree")), "src")
+    part = F.pmod(F.xxhash64("dst"), F.ceil(F.col("degree") / LINKS))
+    return of.groupBy("src", "degree", part.alias("part")).agg(F.collect_list(link).alias("links")).drop("part")
+
+
 def _totals(state: DataFrame, program: Program) -> dict:
     counts = [F.count_if("sends").alias("__send"), F.count_if(~F.col("halted")).alias("__awake")]
     return state.agg(*counts, *[make().alias(k) for k, make in program.aggregators.items()]).first().asDict()

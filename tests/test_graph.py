@@ -282,3 +282,31 @@ def test_triangles_make_no_rows_of_paths(spark, monkeypatch):
     assert _values(A.triangles(vertices, edges)) == {v: 1999 * (v == 0) for v in range(2001)}
     fans = dict(kept)["fans"]
     assert fans.agg(F.sum(F.size("ys"))).first()[0] == len(pairs) and fans.agg(F.max(F.size("ys"))).first()[0] <= 2 * len(pairs) ** 0.5
+
+
+def test_supersteps_move_lists_of_edges(spark, monkeypatch):
+    """A row a vertex and no more than about 1,000 edges in it; weights and repeated edges stay, with ranks as before."""
+    kept = []
+    materialize = bsp.materialize
+    monkeypatch.setattr(bsp, "materialize", lambda df, label: kept.append((label, materialize(df, label))) or kept[-1][1])
+    vertices = spark.range(5001).select("id")
+    edges = vertices.where("id > 0").select(F.lit(0).cast("long").alias("src"), F.col("id").alias("dst"))
+    edges = edges.union(edges.select("dst", "src")).union(spark.createDataFrame([(1, 0), (1, 0), (2, None), (None, 3), (4, 9999)], "src long, dst long"))
+    got = _values(A.page_rank(vertices, edges, 3))
+    links = dict(kept)["links"]
+    sizes = [r[0] for r in links.select(F.size("links")).collect()]
+    assert len(sizes) < 5020 and max(sizes) < 2 * bsp.LINKS and links.where("src = 0").agg(F.max("degree")).first()[0] == 5000
+    near = {v: [0] for v in range(1, 5001)} | {0: range(1, 5001), 1: [0, 0, 0], 2: [0, None], 4: [0, 9999]}
+    rank = dict.fromkeys(range(5001), 1 / 5001)
+    for _ in range(2):
+        new = dict.fromkeys(rank, 0.15 / 5001)
+        for v, out in near.items():
+            for w in out:
+                if w in new:
+                    new[w] += 0.85 * rank[v] / len(out)
+        rank = new
+    assert got == pytest.approx(rank, abs=1e-12)
+    assert [label for label, _ in kept] == ["links"] + 3 * ["superstep"]
+
+    weighted = spark.createDataFrame([(0, 1, 2.0), (0, 1, 5.0), (1, 2, 0.5), (0, 2, 9.0)], "src long, dst long, weight double")
+    assert _values(A.shortest_paths(spark.range(4), weighted, 0)) == {0: 0.0, 1: 2.0, 2: 2.5, 3: A.UNREACHED}
