@@ -15,6 +15,8 @@ from quillon.session import materialize
 
 #: Rows up to which a side without an equality is broadcast after it was counted.
 BROADCAST_ROWS = 1_000_000
+#: Rows of a partition whose task sorts or hashes all of it.
+PARTITION_ROWS = 500_000
 
 
 # -- sources of single tuples ---------------------------------------------------------------------
@@ -123,6 +125,11 @@ def hash_partition(df: DataFrame, *keys: str, n: int | None = None) -> DataFrame
     return df.repartition(n, *keys) if n else df.repartition(*keys)
 
 
+def partitions_for(df: DataFrame, rows: int = PARTITION_ROWS) -> int:
+    """Hash partitions of about ``rows`` rows, so that a task needs no more memory when the table grows; at least one a core."""
+    return max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // rows))
+
+
 def hash_partition_merge(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
     """Partitions by hash, each in order."""
     return df.repartition(*keys).sortWithinPartitions(*order)

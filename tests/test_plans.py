@@ -82,3 +82,28 @@ def test_duplicated_keys_are_counted_before_they_meet(spark, tmp_path):
     got = QUERIES["j12_duplicated_keys"](spark, str(tmp_path))
     # 8e10 pairs, which the join itself would take many minutes to make.
     assert "Aggregate" in plan(got).split("Join")[1] and {r.k: r.n for r in got.collect()} == {0: 199_999**2, 1: 200_000**2}
+
+
+def test_waiting_orders_take_one_pass_over_the_lines(spark, tmp_path):
+    """More lines are more partitions, not larger ones; nulls, repeated orders and repeated lines count as in SQL."""
+    import random
+    from datetime import datetime, timedelta
+
+    import duckdb
+
+    r, day = random.Random(3), datetime(1996, 1, 1)
+    orders = [(r.choice([None, *range(400)]), r.choice("FFFO"), r.choice([None, day, day + timedelta(30)])) for _ in range(500)]
+    lines = [(r.choice([None, *range(400)]), r.choice([None, *range(6)]), r.choice([None, *(day + timedelta(x) for x in (10, 60, 61, 91, 120))])) for _ in range(1500)]
+    spark.createDataFrame(orders, "o_orderkey long, o_orderstatus string, o_orderdate timestamp_ntz").coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame(lines, "l_orderkey long, l_suppkey long, l_shipdate timestamp_ntz").coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(i, f"S{i % 5}") for i in range(6)], "s_suppkey long, s_name string").coalesce(1).write.parquet(f"{tmp_path}/supplier.parquet")
+    name = "q21_suppliers_who_kept_orders_waiting"
+    c = duckdb.connect()
+    for t in ("orders", "lineitem", "supplier"):
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
+    want = c.sql(catalog.oracle_sql()[name]).fetchall()
+    got = QUERIES[name](spark, str(tmp_path))
+    assert [(x.s_name, x.numwait) for x in got.collect()] == want and len(want) > 2
+    assert plan(QUERIES[name](spark, str(tmp_path))).count("ReadSchema: struct<l_") == 1
+    items = table(spark, str(tmp_path), "lineitem")
+    assert R.partitions_for(items, 100) == 15 and R.partitions_for(items) == spark.sparkContext.defaultParallelism
